@@ -1 +1 @@
-"""See the modules of this package."""
+"""State-space analytics of Petri nets, and array operators over token vectors, on Spark DataFrames."""
