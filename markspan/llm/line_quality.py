@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspan.llm.tables import materialize
+from markspan.llm.tables import materialize, with_row_id
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -47,20 +47,25 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, let(hashes, lambda h: let(windows(h), count))).otherwise(F.lit(0).cast("long"))
 
 
+def normalised_line(line: Column) -> Column:
+    """A-Z, blanks and digits do not tell lines apart; empty for a line without a word."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), BLANK, " ")), r"\d+", "0")
+
+
 def _lines(text: Column) -> Column:
-    """Hash and words of each different normalised line: A-Z, blanks and digits do not tell lines apart."""
-    trimmed = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.lower(x), BLANK, " "))
-    plain = F.filter(F.transform(trimmed, lambda x: F.regexp_replace(F.trim(x), r"\d+", "0")), lambda x: x != "")
+    """Hash and number of words of each normalised line with a word."""
+    plain = F.filter(F.transform(F.split(text, "\n"), normalised_line), lambda x: x != "")
     return F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
 
 
-def document_statistics(documents: DataFrame) -> DataFrame:
+def document_statistics(documents: DataFrame, *more: str) -> DataFrame:
     """One row per document (row): base metrics, and ``lines`` array<struct<h,n>> of its whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = documents.select("doc_id", "source", text.alias("text"), words_of(text).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("full"))
+    split = documents.select("doc_id", "source", *more, text.alias("text"), words_of(text).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("full"))
     return split.select(
         "doc_id",
         "source",
+        *more,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", rf"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
@@ -70,6 +75,40 @@ def document_statistics(documents: DataFrame) -> DataFrame:
     )
 
 
+def common_lines(stats: DataFrame, max_documents: int) -> DataFrame:
+    """(host, h, first): normalised lines in more than ``max_documents`` documents of a host, and the row that keeps them.
+
+    A document counts once per line, however often it has it; counts are summed
+    before the shuffle, so a line of a third of all rows is no hot spot.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_rid").alias("c"))
+    once = stats.select(_host().alias("host"), order.alias("o"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counted = once.groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("o")["c"].alias("first"))
+    return materialize(counted.where(F.col("documents") > max_documents).select("host", "h", "first"), "common-lines")
+
+
+def _host() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+
+
+def _removals(stats: DataFrame, max_documents: int) -> DataFrame:
+    """(_rid, h, n): the lines to remove, one row per occurrence."""
+    flat = stats.select(_host().alias("host"), "_rid", F.inline("lines"))
+    return flat.join(common_lines(stats, max_documents), ["host", "h"]).where("_rid <> first").select("_rid", "h", "n")
+
+
+def _verdicts(stats: DataFrame, removed: DataFrame, min_words: int, min_share: float) -> DataFrame:
+    left = F.col("n_words") - F.col("removed_words")
+    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    return (
+        stats.drop("lines")
+        .join(removed, "_rid", "left")
+        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+        .withColumn("base_failed", failed)
+        .withColumn("kept", ~failed & ((F.col("removed_words") == 0) | ((left >= min_words) & (left >= min_share * F.col("n_words")))))
+    )
+
+
 def line_frequency_verdicts(documents: DataFrame, max_documents: int = 10, min_words: int = 20, min_share: float = 0.3) -> DataFrame:
     """One row per document: base metrics, base_failed, words removed, and kept.
 
@@ -84,24 +123,23 @@ def line_frequency_verdicts(documents: DataFrame, max_documents: int = 10, min_w
     gives an empty result; other columns are ignored.
     """
     stats = materialize(document_statistics(documents).withColumn("_rid", F.monotonically_increasing_id()), "line-stats")
-    host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_rid").alias("c"))
-    flat = stats.select(host.alias("host"), "doc_id", "_rid", F.inline("lines"))
-    once = stats.select(host.alias("host"), order.alias("o"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    common = materialize(
-        once.groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("o")["c"].alias("first")).where(F.col("documents") > max_documents).select("host", "h", "first"), "common-lines"
-    )
-    removed = flat.join(common, ["host", "h"]).where("_rid <> first").groupBy("_rid").agg(F.sum("n").cast("long").alias("removed_words"))
-    left = F.col("n_words") - F.col("removed_words")
-    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return (
-        stats.drop("lines")
-        .join(removed, "_rid", "left")
-        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & ((F.col("removed_words") == 0) | ((left >= min_words) & (left >= min_share * F.col("n_words")))))
-        .drop("_rid")
-    )
+    removed = _removals(stats, max_documents).groupBy("_rid").agg(F.sum("n").cast("long").alias("removed_words"))
+    return _verdicts(stats, removed, min_words, min_share).drop("_rid")
+
+
+def cleaned_documents(documents: DataFrame, max_documents: int = 10, min_words: int = 20, min_share: float = 0.3) -> DataFrame:
+    """(doc_id, source, text, kept, removed_words): the texts without the lines that ``line_frequency_verdicts`` removes.
+
+    Texts are written once with a row number; lines to remove are gathered per
+    document, whose own number of lines bounds them, and joined to the texts.
+    """
+    table = with_row_id(documents.select("doc_id", "source", "text"), "texts")
+    stats = materialize(document_statistics(table, "_rid"), "line-stats")
+    removed = _removals(stats, max_documents).groupBy("_rid").agg(F.sum("n").cast("long").alias("removed_words"), F.collect_set("h").alias("gone"))
+    verdicts = materialize(_verdicts(stats, removed, min_words, min_share).select("_rid", "kept", "removed_words", "gone"), "line-verdicts")
+    stay = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normalised_line(x))) | (normalised_line(x) == ""))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    return table.join(verdicts.hint("merge"), "_rid").select("doc_id", "source", text.alias("text"), "kept", "removed_words")
 
 
 def judge_documents(documents: DataFrame) -> DataFrame:
