@@ -47,12 +47,12 @@ def _state(links: DataFrame) -> tuple:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("v", "u"))
-    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large-min")
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large-min", small=True)
     moved = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return materialize(moved.distinct(), "large-star")
+    return materialize(moved.distinct(), "large-star", small=True)
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = materialize(links.groupBy("u").agg(F.min("v").alias("m")), "small-min")
+    least = materialize(links.groupBy("u").agg(F.min("v").alias("m")), "small-min", small=True)
     moved = links.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+    return materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star", small=True)

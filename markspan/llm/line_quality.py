@@ -84,7 +84,7 @@ def common_lines(stats: DataFrame, max_documents: int) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_rid").alias("c"))
     once = stats.select(_host().alias("host"), order.alias("o"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counted = once.groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("o")["c"].alias("first"))
-    return materialize(counted.where(F.col("documents") > max_documents).select("host", "h", "first"), "common-lines")
+    return materialize(counted.where(F.col("documents") > max_documents).select("host", "h", "first"), "common-lines", small=True)
 
 
 def _host() -> Column:

@@ -137,7 +137,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     digest = materialize(fingerprints(documents), "fingerprints")
     classes = materialize(digest.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    groups = materialize(connected_components(near_fingerprints(classes.select("fp"))), "fp-components")
+    groups = materialize(connected_components(near_fingerprints(classes.select("fp"))), "fp-components", small=True)
     named = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     names = materialize(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp-names")

@@ -37,10 +37,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{os.path.abspath(_OWN_DIR[0])}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``small`` is for what a shuffle has summed up: a file for every fourth
+    shuffle partition, as each file costs an executor a new process or two on
+    some file systems.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/markspan/{uuid.uuid4().hex}-{tag}"
+    if small:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

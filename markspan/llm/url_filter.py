@@ -62,7 +62,7 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float, ro
     total = seeds.agg(F.sum("seed")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("score")).limit(0)
-    jump = materialize(seeds.where("seed > 0").select("host", (F.col("seed") / total).alias("score")), "seeds")
+    jump = materialize(seeds.where("seed > 0").select("host", (F.col("seed") / total).alias("score")), "seeds", small=True)
     if edges.isEmpty():
         return jump.select("host", ((1 - damping) * F.col("score")).alias("score"))
     share = materialize(
@@ -72,7 +72,7 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float, ro
     for _ in range(rounds):
         moved = share.join(rank.withColumnRenamed("host", "src").hint("merge"), "src").select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("part")).alias("score"))
         back = jump.select("host", ((1 - damping) * F.col("score")).alias("score"))
-        rank = materialize(moved.union(back).groupBy("host").agg(F.sum("score").alias("score")), "ranks")
+        rank = materialize(moved.union(back).groupBy("host").agg(F.sum("score").alias("score")), "ranks", small=True)
     return rank
 
 
@@ -112,7 +112,7 @@ def filter_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: in
     allowed. Repeated rows are judged alike, null html has no links, extra
     columns are ignored, an empty table gives an empty result.
     """
-    blocked = materialize(host_verdicts(pages, rules, damping, rounds), "blocked-hosts").withColumn("graph", F.lit("block"))
+    blocked = materialize(host_verdicts(pages, rules, damping, rounds), "blocked-hosts", small=True).withColumn("graph", F.lit("block"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("r"))
     return judged.join(blocked, "host", "left").select(
