@@ -17,28 +17,47 @@ from markspan.llm.tables import ship
 DIMS = 1 << 18
 #: Bound of the labelled sample that is fitted, by a hash of doc_id.
 SAMPLE_DOCUMENTS = 8_000
-EPOCHS = 6
-#: Share of calibration texts of the top grade that selection may lose.
-MISS = 0.005
-_LETTERS = regex.compile(r"\p{L}+|\p{N}+")
+EPOCHS = 15
+#: A feature counts if it is in so many of the fitted documents (fewer in a small sample).
+MIN_DOCUMENTS = 20
+#: Share of calibration texts of the top grade that selection may lose, and the highest limit that this may set.
+MISS, HIGHEST_LIMIT = 0.002, 0.8
+WORD_VALUE, SHARE_VALUE = 0.15, 5.0
+_OTHER = regex.compile(r"[^\p{L}]+")
+
+
+def _place(text: str, kind: int) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"), kind) & (DIMS - 1)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and the shapes of words with other characters, by damped counts of length one."""
-    counts = Counter((text or "").lower().split())
-    if not counts:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    shapes: Counter = Counter()
-    hashes = []
-    for word, n in counts.items():
-        hashes.append(zlib.crc32(word.encode("utf-8", "surrogatepass")))
+    """Hashed features of a whole text.
+
+    Its words in lower case without other characters, and their first four and
+    five letters, each once; the share of words with each run of other
+    characters, of words in capitals, and of words that repeat the one before.
+    """
+    words = (text or "").split()
+    present: set[int] = set()
+    shares: Counter = Counter()
+    for word, n in Counter(words).items():
+        letters = word.lower()
         if not word.isalpha():
-            shapes[_LETTERS.sub("x", word)] += n
-    values = [*counts.values(), *shapes.values()]
-    hashes += [zlib.crc32(s.encode("utf-8", "surrogatepass"), 1) for s in shapes]
-    weight = np.log1p(np.array(values, dtype=np.float32))
-    weight /= np.sqrt((weight * weight).sum())
-    return (np.array(hashes, dtype=np.int64) & (DIMS - 1)).astype(np.int32), weight
+            for run in set(_OTHER.findall(word)):
+                shares[_place(run, 1)] += n
+            letters = _OTHER.sub("", letters)
+        if letters:
+            present.add(_place(letters, 0))
+            if len(letters) > 4:
+                present.add(_place(letters[:5], 2))
+                present.add(_place(letters[:4], 3))
+            if len(letters) > 1 and word.isupper():
+                shares[_place("capitals", 4)] += n
+    if repeats := sum(a == b for a, b in zip(words, words[1:], strict=False)):
+        shares[_place("repeats", 4)] += repeats
+    values = np.full(len(present) + len(shares), WORD_VALUE, np.float32)
+    values[len(present) :] = SHARE_VALUE * np.sqrt(np.fromiter(shares.values(), np.float32, len(shares)) / max(1, len(words)))
+    return np.fromiter((*present, *shares), np.int32, len(values)), values
 
 
 def _sigmoid(x):
@@ -60,15 +79,15 @@ class OrdinalModel:
         return float(above.sum()), float(above[-1])
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int = EPOCHS, rate: float = 0.5, ridge: float = 1e-6) -> OrdinalModel:
-    """Adaptive gradient ascent of the likelihood, row by row in a fixed order; thresholds are kept in order."""
-    weights, squares = np.zeros(DIMS, np.float64), np.full(DIMS, 1e-3)
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int = EPOCHS, rate: float = 0.5, ridge: float = 1e-3) -> OrdinalModel:
+    """Adaptive gradient ascent of the likelihood, row by row in a fixed order, averaged over the later epochs; thresholds stay in order."""
+    weights, squares, sums = np.zeros(DIMS), np.full(DIMS, 1e-3), np.zeros(DIMS)
     share = np.cumsum(np.bincount([r[0] for r in rows], minlength=grades) + 1.0)
     share = share[:-1] / share[-1]
     thresholds = np.log(share / (1 - share))
-    pull = np.full(grades - 1, 1.0)
+    threshold_sums, pull = np.zeros(grades - 1), np.ones(grades - 1)
     rng = np.random.default_rng(5)
-    for _ in range(epochs):
+    for epoch in range(epochs):
         for at in rng.permutation(len(rows)):
             grade, where, value = rows[at]
             score = weights[where] @ value
@@ -84,7 +103,20 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int
                     thresholds[k] += 0.2 * slope / np.sqrt(pull[k])
             for k in range(1, grades - 1):
                 thresholds[k] = max(thresholds[k], thresholds[k - 1] + 1e-3)
-    return OrdinalModel(weights.astype(np.float32), thresholds)
+        if epoch >= epochs // 3:
+            sums += weights
+            threshold_sums += thresholds
+    used = epochs - epochs // 3
+    return OrdinalModel((sums / used).astype(np.float32), threshold_sums / used)
+
+
+def _frequent(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The rows without features that few of them have."""
+    found = np.zeros(DIMS, np.int32)
+    for _, where, _ in rows:
+        np.add.at(found, where, 1)
+    keep = found >= min(MIN_DOCUMENTS, max(2, len(rows) // 300))
+    return [(grade, where[keep[where]], value[keep[where]]) for grade, where, value in rows]
 
 
 def rating(quality: Column, toxic: Column) -> Column:
@@ -117,10 +149,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENT
     if len({r[0] for r in rows}) < 2:
         return None
     held, used = rows[::5], [r for i, r in enumerate(rows) if i % 5]
-    model = fit(used, 3)
+    model = fit(_frequent(used), 3)
     tops = sorted(float(1.0 - _sigmoid(model.thresholds[-1] - float(model.weights[w] @ v))) for g, w, v in held if g == 2)
     if tops:
-        model.least_tail = min(0.5, tops[int(MISS * len(tops))])
+        model.least_tail = min(HIGHEST_LIMIT, tops[int(MISS * len(tops))])
     return model
 
 
