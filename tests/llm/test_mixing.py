@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -10,10 +11,14 @@ from markspan.llm import mixing
 from tests.llm.helpers import documents, frame
 
 
+def words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
 def targets(rows):
     size = defaultdict(int)
     for _, text, _, source, _ in rows:
-        size[source] += len((text or "").split())
+        size[source] += words(text)
     order = sorted(size, key=lambda s: (s is None, s or ""))
     return dict(zip(order, mixing.water_fill([size[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(size.values()), 2.0), strict=True)), size
 
@@ -30,15 +35,15 @@ def test_contract(spark, clash):
     rows = documents(300)
     got = mixing.mix_documents(frame(spark, rows, clash)).collect()
     want, size = targets(rows)
-    source = {(i, len((t or "").split())): s for i, t, _, s, _ in rows}
-    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len((t or "").split())) for i, t, *_ in rows)
+    source = {(i, words(t)): s for i, t, _, s, _ in rows}
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, words(t)) for i, t, *_ in rows)
     taken = defaultdict(int)
     for r in got:
         s = source[r.doc_id, r["size"]]
         assert r.target == pytest.approx(want[s]) and r.source_size == size[s]
         assert r.taken in (0, r["size"], 2 * r["size"])
         taken[s] += r.taken
-    largest = max(len((t or "").split()) for _, t, _, s, _ in rows if s == "src0")
+    largest = max(words(t) for _, t, _, s, _ in rows if s == "src0")
     assert abs(taken["src0"] - want["src0"]) <= largest / 2
 
 
