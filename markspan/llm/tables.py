@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 #: Ids of a checked number may be broadcast up to this many rows (8 bytes each, some 25 MB as a hash table).
 BROADCAST_ROWS = 500_000
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWN_DIR: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that share this file system import the package; a cluster ships it with --py-files."""
+    """Prepare a session for Python workers.
+
+    Those that share this file system can import the package (a cluster ships it
+    with --py-files), and batches of rows are bounded by their bytes, unless the
+    session says otherwise: texts may be long.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, "4m")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
