@@ -76,9 +76,11 @@ def analyze(args: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     try:
-        args = _parser().parse_args(argv)
+        args, unknown = _parser().parse_known_args(argv)
     except SystemExit as stop:
         return 0 if stop.code in (0, None) else 1
+    if unknown:
+        log.warning("ignored: %s", " ".join(unknown))
     try:
         if args.command == "generate":
             lengths = [int(x) for x in args.branches_len.split(",")]

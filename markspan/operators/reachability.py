@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import shutil
 import tempfile
@@ -13,10 +14,14 @@ from pyspark.sql import functions as F
 from markspan.functions.vectors import accelerate, fire, is_enabled, node_id
 from markspan.plans.compile import CompiledNets, compile_nets
 
+log = logging.getLogger("markspan")
+
 #: Transition tables up to this many rows are broadcast; larger ones are joined by net_id.
 BROADCAST_TRANSITIONS = 100_000
 #: Levels whose markings are kept in parts of their own before they are written together.
 SEGMENTS = 12
+#: Levels per job where no net needs acceleration.
+STRIDE = 4
 
 
 class StateLimit(RuntimeError):
@@ -75,51 +80,87 @@ def explore(nets: DataFrame, strict: bool = True, max_levels: int = 10_000, max_
         F.when(~F.col("bounded"), F.array("report")).alias("ancestors"), F.lit(0).alias("depth"), F.lit(False).alias("phantom"),
     ).write.parquet(f"{folder}/states/level=0")
     read = lambda *parts: spark.read.schema(columns).parquet(*(f"{folder}/{x}" for x in parts))
-    seen, total, level, rows, ghosts = ["states/level=0"], 0, 0, 1, 0
-    while rows > ghosts:
+    stride = STRIDE if strict and read("states/level=0").where("ancestors IS NOT NULL").isEmpty() else 1
+    seen, parts, total, level, open_rows = ["states/level=0"], ["states/level=0"], 0, 0, 1
+    while open_rows:
         if level >= max_levels:
             raise StateLimit(f"over {max_levels} levels")
         if len(seen) > SEGMENTS:  # many small parts are slow to list and to open
             read(*seen).where("NOT phantom").select("net_id", "expand", "phantom").write.parquet(f"{folder}/seen={level}")
             seen = [f"seen={level}"]
-        here = read(f"states/level={level}").where("NOT phantom").drop("phantom")
-        fresh = _next_level(here, transitions, read(*seen).where("NOT phantom").select("net_id", F.col("expand").alias("marking")), level + 1, small, strict)
+        here = read(parts[-1]).where("NOT phantom")
+        if stride > 1:  # a part holds several levels
+            here = here.where(F.size("path") == level)
+        here = here.drop("phantom")
+        old = read(*seen).where("NOT phantom").select("net_id", F.col("expand").alias("marking"))
+        step = min(stride, max_levels - level)
+        fresh = _next_levels(here, transitions, old, step, small) if step > 1 else _next_level(here, transitions, old, small, strict)
+        level += step
+        parts.append(f"states/level={level}")
+        seen.append(parts[-1])
         count = Observation()
-        fresh.observe(count, F.count(F.lit(1)).alias("rows"), F.count_if("phantom").alias("ghosts")).write.parquet(f"{folder}/states/level={level + 1}")
-        level += 1
-        seen.append(f"states/level={level}")
-        rows, ghosts = count.get["rows"], count.get["ghosts"]
+        measured = fresh.observe(count, F.count(F.lit(1)).alias("rows"), F.count_if((F.col("depth") == level) & ~F.col("phantom")).alias("open"))
+        measured.write.parquet(f"{folder}/{parts[-1]}")
+        rows, open_rows = count.get["rows"], count.get["open"]
         total += rows
+        log.info("level %d: %d states, %d since the roots", level, rows, total)
         if max_states is not None and total > max_states:
             raise StateLimit(f"over {max_states} states at level {level}")
-    states = read(*(f"states/level={k}" for k in range(level + 1)))
+    states = read(*parts)
     return states.select("net_id", "path", node_id("path").alias("node_id"), F.col("report").alias("marking"), "depth")
 
 
-def _next_level(here: DataFrame, transitions: DataFrame, seen: DataFrame, level: int, broadcast: bool, strict: bool) -> DataFrame:
-    """The states of a level from those of the one before: fire, accelerate, keep the smallest path, drop what was seen."""
+def _next_level(here: DataFrame, transitions: DataFrame, seen: DataFrame, broadcast: bool, strict: bool) -> DataFrame:
+    """The states of a level from those of the one before: fire, accelerate, keep the smallest path, drop what was seen.
+
+    The depth comes from the rows, so that all levels run the same compiled code.
+    """
     fired = successors(here, transitions, broadcast)
     child = F.when(F.col("ancestors").isNull(), fire("expand", "delta")).otherwise(accelerate("ancestors", fire("expand", "delta")))
-    made = fired.select("net_id", F.concat("path", F.array("t")).alias("path"), F.when(F.col("phantom"), F.col("report")).otherwise(child).alias("marking"), "ancestors", "phantom")
+    made = fired.select(
+        "net_id", F.concat("path", F.array("t")).alias("path"), F.when(F.col("phantom"), F.col("report")).otherwise(child).alias("marking"), "ancestors", "phantom", (F.col("depth") + 1).alias("depth")
+    )
     fresh = (
         made.where("NOT phantom")
         .groupBy("net_id", "marking")
-        .agg(F.min_by(F.struct("path", "ancestors"), "path").alias("s"))
+        .agg(F.min_by(F.struct("path", "ancestors", "depth"), "path").alias("s"))
         .join(seen, ["net_id", "marking"], "left_anti")
         .select(
             "net_id", "s.path", F.col("marking").alias("expand"), F.col("marking").alias("report"),
             F.when(F.col("s.ancestors").isNotNull(), F.concat("s.ancestors", F.array("marking"))).alias("ancestors"),
-            F.lit(level).alias("depth"), F.lit(False).alias("phantom"),
+            "s.depth", F.lit(False).alias("phantom"),
         )
     )
     if strict:
         return fresh
     ghosts = made.where("phantom").select(
-        "net_id", "path", F.col("marking").alias("expand"), F.col("marking").alias("report"), F.lit(None).cast("array<array<int>>").alias("ancestors"), F.lit(level).alias("depth"), "phantom"
+        "net_id", "path", F.col("marking").alias("expand"), F.col("marking").alias("report"), F.lit(None).cast("array<array<int>>").alias("ancestors"), "depth", "phantom"
     )
     return fresh.union(ghosts)
 
 
+def _next_levels(here: DataFrame, transitions: DataFrame, seen: DataFrame, steps: int, broadcast: bool) -> DataFrame:
+    """Several levels in one job, for nets that are proven bounded.
+
+    Without acceleration a state's smallest path is the smallest of its shortest
+    paths, whose prefixes are such paths too. So markings need not be compared
+    with those seen at every level: each level keeps one path per marking, and in
+    the end the lowest level of each marking that was not seen before counts.
+    """
+    ahead, levels = here.select("net_id", "path", "expand"), []
+    for _ in range(steps):
+        fired = successors(ahead, transitions, broadcast).select("net_id", F.concat("path", F.array("t")).alias("path"), fire("expand", "delta").alias("expand"))
+        ahead = fired.groupBy("net_id", "expand").agg(F.min("path").alias("path")).select("net_id", "path", "expand")
+        levels.append(ahead.select("net_id", "expand", F.struct(F.size("path").alias("depth"), "path").alias("at")))
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.union(more)
+    fresh = every.groupBy("net_id", F.col("expand").alias("marking")).agg(F.min("at").alias("at")).join(seen, ["net_id", "marking"], "left_anti")
+    return fresh.select(
+        "net_id", "at.path", F.col("marking").alias("expand"), F.col("marking").alias("report"), F.lit(None).cast("array<array<int>>").alias("ancestors"), "at.depth", F.lit(False).alias("phantom")
+    )
+
+
 def tree_edges(states: DataFrame) -> DataFrame:
     """(net_id, parent_id, child_id, t): the parent follows from the path, without a join."""
     inner = states.where(F.size("path") > 0)

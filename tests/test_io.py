@@ -51,7 +51,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["analyze", "--input", str(net), "--output", str(dot), "--nthreads", "2"]) == 0
     assert "Time taken:" in capsys.readouterr().out and dot.read_text().count(" -> ") == 10
     assert cli.main(["editor-xml", str(net), str(tmp_path / "n.xml")]) == 0
-    assert (tmp_path / "n.xml").read_text().count("<arc ") == 20
+    assert (tmp_path / "n.xml").read_text().count("<arc ") == 18
     assert cli.main(["pnml", str(net), str(tmp_path / "n.pnml")]) == 0
     assert "<name><text>n.pnml</text></name>" in (tmp_path / "n.pnml").read_text()
     assert cli.main(["dot", str(net)]) == 0
