@@ -16,8 +16,8 @@ from markspan.plans.compile import CompiledNets, compile_nets
 
 log = logging.getLogger("markspan")
 
-#: Transition tables up to this many rows are broadcast; larger ones are joined by net_id.
-BROADCAST_TRANSITIONS = 100_000
+#: Transition tables of up to this many vector cells (4 bytes each) are broadcast; larger ones are joined by net_id.
+BROADCAST_CELLS = 8_000_000
 #: Levels whose markings are kept in parts of their own before they are written together.
 SEGMENTS = 12
 #: Levels per job where no net needs acceleration.
@@ -47,10 +47,11 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
         shutil.rmtree(folder[7:], ignore_errors=True)
 
 
-def successors(frontier: DataFrame, transitions: DataFrame, broadcast: bool = True) -> DataFrame:
+def successors(frontier: DataFrame, transitions: DataFrame, broadcast: bool = False) -> DataFrame:
     """Theta join of states with the transitions that they enable: a row for each firing.
 
-    ``frontier`` needs net_id, path, expand and any other columns, which stay.
+    ``frontier`` needs net_id, expand and any other columns, which stay. Ask for
+    a broadcast only where the size of ``transitions`` is known.
     """
     right = F.broadcast(transitions) if broadcast else transitions
     joined = frontier.alias("f").join(right.alias("x"), (F.col("f.net_id") == F.col("x.net_id")) & is_enabled("f.expand", "x.pre"))
@@ -73,7 +74,7 @@ def explore(nets: DataFrame, strict: bool = True, max_levels: int = 10_000, max_
     folder = work_folder(spark)
     compiled.transitions.write.parquet(f"{folder}/transitions")
     transitions = spark.read.parquet(f"{folder}/transitions")
-    small = transitions.count() <= BROADCAST_TRANSITIONS
+    small = (transitions.agg(F.sum(F.size("pre") + F.size("delta"))).first()[0] or 0) <= BROADCAST_CELLS
     columns = "net_id string, path array<int>, expand array<int>, report array<int>, ancestors array<array<int>>, depth int, phantom boolean"
     compiled.roots.select(
         "net_id", F.array().cast("array<int>").alias("path"), "expand", "report",
@@ -200,7 +201,7 @@ def explain_node(states: DataFrame, nets: DataFrame, node: str) -> DataFrame:
     at = states.select("net_id", F.col("path").alias("prefix"), F.col("marking").alias("ancestor"), F.col("node_id").alias("ancestor_id"))
     rows = prefixes.join(at, ["net_id", "prefix"])
     parents = rows.where(F.col("n") == F.size("path") - 1).select("net_id", "node_id", F.col("ancestor").alias("parent"), F.element_at("path", -1).alias("t"))
-    fired = parents.join(F.broadcast(transition_table(nets).select("net_id", "t", "delta")), ["net_id", "t"]).select("net_id", "node_id", fire("parent", "delta").alias("fired"))
+    fired = parents.join(transition_table(nets).select("net_id", "t", "delta"), ["net_id", "t"]).select("net_id", "node_id", fire("parent", "delta").alias("fired"))
     less = F.array_position(F.zip_with("ancestor", "fired", lambda a, c: (a != -1) & (c != -1) & (c < a)), True) - 1
     mask = omega_mask("ancestor", "fired")
     verdict = F.when(~covers("ancestor", "fired"), F.concat(F.lit("smaller at "), less.cast("string"))).when(F.exists(mask, lambda b: b), "grown").otherwise("equal")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from markspan.functions import vectors as V
+from markspan.operators import reachability
 from markspan.operators.reachability import StateLimit, explain_node, explore, repeated_markings, state_counts, tree_edges
 from markspan.plans.compile import NetError, is_bounded, problems
 from markspan.queries import ORDER_NET, sample_net
@@ -94,6 +95,22 @@ def test_bad_parameters(spark):
         generated_nets(frame).collect()
 
 
+@pytest.mark.parametrize("stride", [1, 2, 5])
+def test_levels_per_job_and_segments_do_not_matter(spark, monkeypatch, stride):
+    monkeypatch.setattr(reachability, "STRIDE", stride)
+    monkeypatch.setattr(reachability, "SEGMENTS", 2)
+    net = generate_net(2, [2, 1], 1)
+    net["M0"][0] = 2
+    states = explore(nets_from_documents(spark, {"n": net}))
+    assert sorted((tuple(r.path), tuple(r.marking)) for r in states.collect()) == sorted(simulator.explore(net))
+    assert {r.depth == len(r.path) for r in states.collect()} == {True}
+
+
+def test_large_transition_tables_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(reachability, "BROADCAST_CELLS", 0)
+    assert explore(nets_from_documents(spark, {"n": sample_net("net_1")})).count() == 11
+
+
 def test_limits_raise(spark):
     nets = nets_from_documents(spark, {"n": sample_net("net_1")})
     with pytest.raises(StateLimit):
