@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markspan.llm.tables import ship
+from markspan.llm.tables import keep_ids, materialize, ship
 
 ORDER = 4
 #: Bound of the sample each model learns from: documents per language, by a hash of doc_id.
 SAMPLE_DOCUMENTS = 250
-MAX_LANGUAGES = 1_000
+MAX_LANGUAGES = 200
 CALIBRATION = 5
 SHARPNESS = 20.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -257,17 +257,27 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS) -> dict[str, list[str]]:
     """Whole texts of up to ``per_language`` documents of each language that are not held out, by a hash of doc_id.
 
-    Only ids and languages are ranked (each task keeps the first of each
-    language before the shuffle); the texts of the chosen ids are read in a
-    second scan. Languages are the MAX_LANGUAGES most frequent.
+    Languages are counted first and are the MAX_LANGUAGES most frequent. A test
+    of the hash, by each language's count, leaves some four times the documents
+    wanted; only their ids and languages are ranked. The texts of the chosen ids
+    are read in a second scan.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    common = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    if not counts:
+        return {}
+    every = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (4 * per_language)))))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    chosen = [r["doc_id"] for r in ids.select("doc_id").distinct().collect()]
+    ids = (
+        known.where(F.col("lang").isin(list(counts)))
+        .select("doc_id", "lang")
+        .where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), every[F.col("lang")]) == 0)
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= per_language)
+    )
+    chosen = materialize(ids.select("doc_id").distinct(), "training-ids", small=True)
     texts: dict[str, list[str]] = {}
-    for row in sorted(known.where(F.col("doc_id").isin(chosen)).select("doc_id", "lang", "text").collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"])):
+    for row in sorted(keep_ids(known, chosen, "doc_id", "left_semi").select("doc_id", "lang", "text").collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"])):
         texts.setdefault(row["lang"], []).append(row["text"])
     return texts
 

@@ -48,7 +48,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def normalised_line(line: Column) -> Column:
-    """A-Z, blanks and digits do not tell lines apart; empty for a line without a word."""
+    """Letter case, kinds of blanks and digits do not tell lines apart; empty for a line without a word."""
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), BLANK, " ")), r"\d+", "0")
 
 

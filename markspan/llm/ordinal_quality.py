@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspan.llm.tables import ship
+from markspan.llm.tables import materialize, ship
 
 DIMS = 1 << 18
 #: Bound of the labelled sample that is fitted, by a hash of doc_id.
@@ -127,12 +127,15 @@ def rating(quality: Column, toxic: Column) -> Column:
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> OrdinalModel | None:
     """Fit on up to ``sample`` labelled documents; a fifth of them sets the least tail probability.
 
-    Labels that disagree count as the lower grade. The chosen ids, bounded by
-    ``sample``, are broadcast to the documents; hashed features, not texts, come
+    Labels that disagree count as the lower grade. A test of a hash leaves about
+    twice the sample to order. The chosen ids, bounded by ``sample``, are broadcast to the documents; hashed features, not texts, come
     to the driver. None without two different grades.
     """
     graded = labels.where("doc_id IS NOT NULL").select("doc_id", rating(F.col("quality"), F.col("toxic")).alias("grade")).where("grade IS NOT NULL")
-    chosen = graded.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rated = materialize(graded.groupBy("doc_id").agg(F.min("grade").alias("grade")), "ratings", small=True)
+    every = max(1, rated.count() // (2 * sample))
+    some = rated.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(every)) == 0)
+    chosen = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def hashed(batches):
         for batch in batches:

@@ -122,7 +122,8 @@ def near_fingerprints(distinct: DataFrame) -> DataFrame:
         return value - (1 << 64) if value >> 63 else value
 
     keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask(c)).cast("long")).alias("shared")) for k, c in enumerate(POSITIONS)))
-    postings = distinct.select("fp", F.inline(keys)).groupBy("k", "shared").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # 28 rows come of each
+    postings = spread.select("fp", F.inline(keys)).groupBy("k", "shared").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     return postings.select("members").mapInArrow(link, "src long, dst long")
 
 
