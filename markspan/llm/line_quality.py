@@ -72,18 +72,21 @@ def document_statistics(documents: DataFrame, *more: str) -> DataFrame:
         (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
         _lines(F.col("text")).alias("lines"),
+        F.xxhash64("text").alias("text_hash"),
     )
 
 
 def common_lines(stats: DataFrame, max_documents: int) -> DataFrame:
-    """(host, h, first): normalised lines in more than ``max_documents`` documents of a host, and the row that keeps them.
+    """(host, h, first): normalised lines in more than ``max_documents`` documents of a host, and the text that keeps them.
 
-    A document counts once per line, however often it has it; counts are summed
-    before the shuffle, so a line of a third of all rows is no hot spot.
+    Equal texts are one document, and a document counts once per line, however
+    often it has it. Both counts are summed before they are shuffled, so a line
+    of a third of all rows is no hot spot.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_rid").alias("c"))
-    once = stats.select(_host().alias("host"), order.alias("o"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counted = once.groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("o")["c"].alias("first"))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
+    once = stats.select(_host().alias("host"), "text_hash", order.alias("o"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    by_text = once.groupBy("host", "h", "text_hash").agg(F.min("o").alias("o"))
+    counted = by_text.groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("o")["c"].alias("first"))
     return materialize(counted.where(F.col("documents") > max_documents).select("host", "h", "first"), "common-lines", small=True)
 
 
@@ -93,15 +96,15 @@ def _host() -> Column:
 
 def _removals(stats: DataFrame, max_documents: int) -> DataFrame:
     """(_rid, h, n): the lines to remove, one row per occurrence."""
-    flat = stats.select(_host().alias("host"), "_rid", F.inline("lines"))
-    return flat.join(common_lines(stats, max_documents), ["host", "h"]).where("_rid <> first").select("_rid", "h", "n")
+    flat = stats.select(_host().alias("host"), "_rid", "text_hash", F.inline("lines"))
+    return flat.join(common_lines(stats, max_documents), ["host", "h"]).where("text_hash <> first").select("_rid", "h", "n")
 
 
 def _verdicts(stats: DataFrame, removed: DataFrame, min_words: int, min_share: float) -> DataFrame:
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return (
-        stats.drop("lines")
+        stats.drop("lines", "text_hash")
         .join(removed, "_rid", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
         .withColumn("base_failed", failed)
@@ -109,17 +112,18 @@ def _verdicts(stats: DataFrame, removed: DataFrame, min_words: int, min_share: f
     )
 
 
-def line_frequency_verdicts(documents: DataFrame, max_documents: int = 10, min_words: int = 20, min_share: float = 0.3) -> DataFrame:
+def line_frequency_verdicts(documents: DataFrame, max_documents: int = 10, min_words: int = 10, min_share: float = 0.25) -> DataFrame:
     """One row per document: base metrics, base_failed, words removed, and kept.
 
-    A normalised line that occurs in more than ``max_documents`` documents of a
-    host (the ``source`` column) is removed from them all but the first, the one
-    with the smallest doc_id, so that no passage vanishes from the host. A
-    document left with under ``min_words`` words or under ``min_share`` of its
-    words is rejected, as is one that fails the base rules.
+    A normalised line that occurs in more than ``max_documents`` different
+    documents of a host (the ``source`` column) is removed from them all but the
+    first, the one with the smallest doc_id, so that no passage vanishes from
+    the host. A document left with under ``min_words`` words or under
+    ``min_share`` of its words is rejected, as is one that fails the base rules.
 
-    Every row is a document, whatever its doc_id; null hosts form one host; a
-    null doc_id orders last. Null text has no words and fails. An empty table
+    Equal texts of a host are one document and are judged alike: copies are left
+    to near-duplicate removal. Every row is judged, whatever its doc_id; null
+    hosts form one host; a null doc_id orders last. Null text has no words and fails. An empty table
     gives an empty result; other columns are ignored.
     """
     stats = materialize(document_statistics(documents).withColumn("_rid", F.monotonically_increasing_id()), "line-stats")
@@ -127,7 +131,7 @@ def line_frequency_verdicts(documents: DataFrame, max_documents: int = 10, min_w
     return _verdicts(stats, removed, min_words, min_share).drop("_rid")
 
 
-def cleaned_documents(documents: DataFrame, max_documents: int = 10, min_words: int = 20, min_share: float = 0.3) -> DataFrame:
+def cleaned_documents(documents: DataFrame, max_documents: int = 10, min_words: int = 10, min_share: float = 0.25) -> DataFrame:
     """(doc_id, source, text, kept, removed_words): the texts without the lines that ``line_frequency_verdicts`` removes.
 
     Texts are written once with a row number; lines to remove are gathered per

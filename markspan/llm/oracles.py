@@ -79,22 +79,22 @@ base AS (
   FROM d LEFT JOIN covered ON d.rid = covered.rid
 ),
 lines AS (
-  SELECT rid, doc_id, host, line, len(string_split(line, ' '))::BIGINT AS n FROM (
-    SELECT rid, doc_id, host,
+  SELECT rid, doc_id, host, text, line, len(string_split(line, ' '))::BIGINT AS n FROM (
+    SELECT rid, doc_id, host, text,
            regexp_replace(trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '{_BLANK}', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS line
     FROM base) WHERE line <> ''
 ),
 common AS (
-  SELECT host, line, arg_min(rid, {{'a': doc_id IS NULL, 'b': doc_id, 'c': rid}}) AS first
-  FROM (SELECT DISTINCT rid, doc_id, host, line FROM lines) GROUP BY host, line HAVING count(*) > 10
+  SELECT host, line, arg_min(text, {{'a': doc_id IS NULL, 'b': doc_id, 'c': text}}) AS first
+  FROM lines GROUP BY host, line HAVING count(DISTINCT text) > 10
 ),
-removed AS (SELECT rid, sum(n)::BIGINT AS r FROM lines JOIN common USING (host, line) WHERE rid <> first GROUP BY rid),
+removed AS (SELECT rid, sum(n)::BIGINT AS r FROM lines JOIN common USING (host, line) WHERE text <> first GROUP BY rid),
 judged AS (
   SELECT base.*, coalesce(r, 0)::BIGINT AS removed_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed
   FROM base LEFT JOIN removed USING (rid)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (removed_words = 0 OR (n_words - removed_words >= 20 AND n_words - removed_words >= 0.3 * n_words)) AS kept, removed_words
+       NOT base_failed AND (removed_words = 0 OR (n_words - removed_words >= 10 AND n_words - removed_words >= 0.25 * n_words)) AS kept, removed_words
 FROM judged
 """
 
