@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 import os
-import shutil
 import tempfile
 import uuid
 
@@ -38,15 +37,6 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/markspan/{uuid.uuid4().hex}"
 
 
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a work folder once its tables are no longer read."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if folder.startswith("file://"):
-        shutil.rmtree(folder[7:], ignore_errors=True)
-
-
 def successors(frontier: DataFrame, transitions: DataFrame, broadcast: bool = False) -> DataFrame:
     """Theta join of states with the transitions that they enable: a row for each firing.
 
