@@ -14,6 +14,9 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
+#: Trust and distrust that differ by no more are equal.
+TIE = 1e-12
+MAX_ROUNDS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,30 +56,53 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(host, score) after ``rounds`` steps from ``seeds`` (host, seed); a host without links gives its mass back to no one.
+def trust_and_distrust(edges: DataFrame, seeds: DataFrame, damping: float, max_rounds: int) -> DataFrame:
+    """(host, trust, distrust, ...) from ``seeds`` (host, good, bad); a host without links gives its mass back to no one.
+
+    Trust follows links, distrust follows them backwards; both are personalised
+    PageRanks, summed from the masses that arrive after 0, 1, 2, ... links. What
+    is still to arrive anywhere is at most the last masses' sum times damping /
+    (1 - damping), so rounds go on until that cannot alter a verdict. More than
+    ``max_rounds`` raise.
 
     Masses are written every round, which cuts lineage; a hub's many in-links
     are summed before the shuffle and its many out-links split by adaptive execution.
     """
-    total = seeds.agg(F.sum("seed")).first()[0]
-    if not total:
-        return seeds.select("host", F.lit(0.0).alias("score")).limit(0)
-    jump = materialize(seeds.where("seed > 0").select("host", (F.col("seed") / total).alias("score")), "seeds", small=True)
-    if edges.isEmpty():
-        return jump.select("host", ((1 - damping) * F.col("score")).alias("score"))
-    share = materialize(
-        edges.join(edges.groupBy("src").agg(F.sum("weight").alias("out")), "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("part")), "shares"
-    )
-    rank = jump.select("host", ((1 - damping) * F.col("score")).alias("score"))
-    for _ in range(rounds):
-        moved = share.join(rank.withColumnRenamed("host", "src").hint("merge"), "src").select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("part")).alias("score"))
-        back = jump.select("host", ((1 - damping) * F.col("score")).alias("score"))
-        rank = materialize(moved.union(back).groupBy("host").agg(F.sum("score").alias("score")), "ranks", small=True)
-    return rank
-
-
-def host_verdicts(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+    total = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    start = {c: (1 - damping) * F.col(c) / total[c] if total[c] else F.lit(0.0) for c in ("good", "bad")}
+    first = seeds.where("good > 0 OR bad > 0").select("host", start["good"].alias("trust"), start["bad"].alias("distrust"))
+    state = materialize(first.select("*", F.col("trust").alias("trust_step"), F.col("distrust").alias("distrust_step")), "ranks", small=True)
+    if not total["bad"] or edges.isEmpty():
+        return state
+    links = edges.select(F.lit(False).alias("back"), "src", "dst", "weight").union(edges.select(F.lit(True), "dst", "src", "weight"))
+    out = links.groupBy("back", "src").agg(F.sum("weight").alias("out"))
+    share = materialize(links.join(out, ["back", "src"]).select("back", "src", "dst", (F.col("weight") / F.col("out")).alias("part")), "shares")
+    hosts = state.count()
+    for _ in range(max_rounds):
+        steps = F.array(F.struct(F.lit(False).alias("back"), F.col("trust_step").alias("step")), F.struct(F.lit(True).alias("back"), F.col("distrust_step").alias("step")))
+        moving = state.select(F.col("host").alias("src"), F.inline(steps)).where("step > 0")
+        step = damping * F.col("step") * F.col("part")
+        moved = share.join(moving.hint("merge"), ["back", "src"]).select(
+            F.col("dst").alias("host"), F.when(F.col("back"), 0.0).otherwise(step).alias("trust_step"), F.when(F.col("back"), step).otherwise(0.0).alias("distrust_step")
+        )
+        held = state.select("host", "trust", "distrust", F.lit(0.0).alias("trust_step"), F.lit(0.0).alias("distrust_step"))
+        both = held.union(moved.select("host", F.col("trust_step").alias("trust"), F.col("distrust_step").alias("distrust"), "trust_step", "distrust_step"))
+        state = materialize(both.groupBy("host").agg(*(F.sum(c).alias(c) for c in both.columns[1:])), "ranks", small=True)
+        now = state.agg(F.count("*").alias("hosts"), F.sum(F.col("trust_step") + F.col("distrust_step")).alias("moved")).first()
+        if _settled(state, now["moved"] * damping / (1 - damping), now["hosts"] > hosts):
+            return state
+        hosts = now["hosts"]
+    raise RuntimeError(f"trust is not settled after {max_rounds} rounds")
+
+
+def _settled(state: DataFrame, left: float, grew: bool) -> bool:
+    """Whether no verdict can change by the mass ``left``; ``grew`` if the last round reached new hosts."""
+    if left <= TIE:
+        return True
+    return not grew and state.where(F.abs(F.col("distrust") - F.col("trust")) <= TIE + left).isEmpty()
+
+
+def host_verdicts(pages: DataFrame, rules=RULES, damping: float = 0.85, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(host) of the hosts that the link graph blocks.
 
     Seeds: a host with over half of its pages under allow rules is trusted, one
@@ -93,26 +119,19 @@ def host_verdicts(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds:
         "hosts",
     )
     edges = materialize(host_edges(pages), "host-edges")
-    good = by_host.select("host", F.when(F.col("allowed") * 2 > F.col("pages"), F.col("allowed")).otherwise(0).cast("double").alias("seed"))
-    bad = by_host.select("host", F.when(F.col("blocked") * 2 > F.col("pages"), F.col("blocked")).otherwise(0).cast("double").alias("seed"))
-    trust = personalised_pagerank(edges, good, damping, rounds)
-    distrust = personalised_pagerank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), bad, damping, rounds)
-    return (
-        distrust.withColumnRenamed("score", "distrust")
-        .join(trust.withColumnRenamed("score", "trust"), "host", "left")
-        .where(F.col("distrust") > F.coalesce("trust", F.lit(0.0)) + 1e-12)
-        .select("host")
-    )
+    most = lambda c: F.when(F.col(c) * 2 > F.col("pages"), F.col(c)).otherwise(0).cast("double")
+    seeds = by_host.select("host", most("allowed").alias("good"), most("blocked").alias("bad"))
+    return trust_and_distrust(edges, seeds, damping, max_rounds).where(F.col("distrust") > F.col("trust") + TIE).select("host")
 
 
-def filter_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page: the longest fitting rule's verdict, else the link graph's.
 
     A null url or one without ``://`` has empty host and path, no rule, and is
     allowed. Repeated rows are judged alike, null html has no links, extra
     columns are ignored, an empty table gives an empty result.
     """
-    blocked = materialize(host_verdicts(pages, rules, damping, rounds), "blocked-hosts", small=True).withColumn("graph", F.lit("block"))
+    blocked = materialize(host_verdicts(pages, rules, damping, max_rounds), "blocked-hosts", small=True).withColumn("graph", F.lit("block"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("r"))
     return judged.join(blocked, "host", "left").select(

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import pytest
+
 from markspan.llm import url_filter
 
 RULES = url_filter.RULES
@@ -110,3 +112,22 @@ def test_empty_and_linkless(spark):
     assert sorted((tuple(r) for r in url_filter.filter_urls(run(spark, rows)).collect()), key=repr) == sorted(brute(rows), key=repr)
     nulls = [(1, None, None)] * 3
     assert [tuple(r) for r in url_filter.filter_urls(run(spark, nulls)).collect()] == [(1, "", "", None, "allow")] * 3
+
+
+def chain(n):
+    """n hosts, each linking to the next, the last to a blocked page; two of them on a cycle, and a trusted host half way."""
+    rows = [(i, f"http://h{i}.edu/", A.format(f"http://h{i + 1}.edu/" if i + 1 < n else "http://spam.net/")) for i in range(n)]
+    rows += [(n, "http://spam.net/", ""), (n + 1, "http://good.org/fr/", A.format(f"http://h{n // 2}.edu/")), (n + 2, "http://h3.edu/back", A.format("http://h2.edu/"))]
+    return rows
+
+
+def test_chain_longer_than_ten_links_equals_converged_ranks(spark):
+    rows = chain(16)
+    want = sorted(brute(rows, rounds=400), key=repr)
+    assert sorted((tuple(r) for r in url_filter.filter_urls(run(spark, rows)).collect()), key=repr) == want
+    assert {v for i, *_, v in want if i < 3} == {"block"} != {v for i, *_, v in sorted(brute(rows)) if i < 3}
+
+
+def test_unsettled_ranks_raise(spark):
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        url_filter.filter_urls(run(spark, chain(16)), max_rounds=3)
