@@ -14,8 +14,8 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Trust and distrust that differ by no more are equal.
-TIE = 1e-12
+#: Trust and distrust that differ by no more than this share of the larger are equal.
+TIE = 1e-9
 MAX_ROUNDS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -95,11 +95,27 @@ def trust_and_distrust(edges: DataFrame, seeds: DataFrame, damping: float, max_r
     raise RuntimeError(f"trust is not settled after {max_rounds} rounds")
 
 
+def _tie() -> Column:
+    """The difference that rounding can make; relative, so that the number of seeds does not matter."""
+    return TIE * F.greatest("trust", "distrust")
+
+
 def _settled(state: DataFrame, left: float, grew: bool) -> bool:
-    """Whether no verdict can change by the mass ``left``; ``grew`` if the last round reached new hosts."""
-    if left <= TIE:
+    """Whether no verdict can change by the mass ``left``; ``grew`` if the last round reached new hosts.
+
+    Without new hosts none will follow, so a host that only one of the two
+    reaches is settled; one that both reach is when they differ by more than
+    what is left, or what is left is no more than a tie.
+    """
+    if left == 0:
         return True
-    return not grew and state.where(F.abs(F.col("distrust") - F.col("trust")) <= TIE + left).isEmpty()
+    close = (F.col("trust") > 0) & (F.col("distrust") > 0) & (F.abs(F.col("distrust") - F.col("trust")) <= _tie() + left) & (_tie() < left)
+    return not grew and state.where(close).isEmpty()
+
+
+def blocked_hosts(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(host) of the hosts whose distrust is above their trust."""
+    return trust_and_distrust(edges, seeds, damping, max_rounds).where(F.col("distrust") > F.col("trust") + _tie()).select("host")
 
 
 def host_verdicts(pages: DataFrame, rules=RULES, damping: float = 0.85, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -121,7 +137,7 @@ def host_verdicts(pages: DataFrame, rules=RULES, damping: float = 0.85, max_roun
     edges = materialize(host_edges(pages), "host-edges")
     most = lambda c: F.when(F.col(c) * 2 > F.col("pages"), F.col(c)).otherwise(0).cast("double")
     seeds = by_host.select("host", most("allowed").alias("good"), most("blocked").alias("bad"))
-    return trust_and_distrust(edges, seeds, damping, max_rounds).where(F.col("distrust") > F.col("trust") + TIE).select("host")
+    return blocked_hosts(edges, seeds, damping, max_rounds)
 
 
 def filter_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, max_rounds: int = MAX_ROUNDS) -> DataFrame:

@@ -131,3 +131,17 @@ def test_chain_longer_than_ten_links_equals_converged_ranks(spark):
 def test_unsettled_ranks_raise(spark):
     with pytest.raises(RuntimeError, match="3 rounds"):
         url_filter.filter_urls(run(spark, chain(16)), max_rounds=3)
+
+
+def test_verdict_does_not_depend_on_the_number_of_seeds(spark):
+    """A little distrust without any trust blocks; equal trust and distrust, however small, do not."""
+    many = 10**12
+    hosts = [("seed.net", 0.0, 1.0), ("good.org", 1.0, 0.0), ("others.net", 0.0, float(many)), ("others.org", float(many), 0.0)]
+    links = [(f"h{i}.edu", "seed.net", 1.0) for i in range(20)] + [("good.org", "tied.edu", 1.0), ("tied.edu", "seed.net", 1.0)]
+    links += [("good.org", f"g{i}.edu", 1.0) for i in range(20)]
+    edges, seeds = spark.createDataFrame(links, "src string, dst string, weight double"), spark.createDataFrame(hosts, "host string, good double, bad double")
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.trust_and_distrust(edges, seeds, 0.85, 1000).collect()}
+    blocked = {r.host for r in url_filter.blocked_hosts(edges, seeds).collect()}
+    assert 0 < got["h0.edu"][1] < 1e-12 and "h0.edu" in blocked
+    assert abs(got["tied.edu"][0] - got["tied.edu"][1]) < 1e-9 * got["tied.edu"][0] and "tied.edu" not in blocked
+    assert blocked == {"seed.net", "others.net"} | {f"h{i}.edu" for i in range(20)}
