@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markspan.llm import bpe, language_id, line_quality, mixing, simhash
-from markspan.llm.tables import keep_ids, materialize
+from markspan.llm.tables import keep_ids, materialize, with_row_id
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,22 +18,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of lines that their host repeats."""
-    verdicts = line_quality.line_frequency_verdicts(docs)
-    rejected = materialize(verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "rejected")
-    return keep_ids(docs, rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that pass the base rules and are not depleted of lines that their host repeats; each row by its own verdict."""
+    rows = with_row_id(docs.select(*COLUMNS), "rows")
+    rejected = materialize(line_quality.row_verdicts(rows).where("NOT kept").select("_rid"), "rejected")
+    return keep_ids(rows, rejected, "_rid", "left_anti").select(*COLUMNS)
 
 
 def simhash_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near-duplicates; repeated rows of it become one."""
-    classes = materialize(simhash.near_duplicates(docs), "classes-of-documents")
-    repeated = materialize(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    dropped = materialize(classes.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    kept = keep_ids(docs, dropped, "doc_id", "left_anti").select(*COLUMNS)
-    if repeated.isEmpty():
-        return kept
-    once = keep_ids(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return keep_ids(kept, repeated, "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
+    """One row of each class of near-duplicates: the one with the smallest doc_id, null last, and of those the first."""
+    rows = with_row_id(docs.select(*COLUMNS), "rows")
+    dropped = materialize(simhash.later_rows(rows), "dropped")
+    return keep_ids(rows, dropped, "_rid", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,8 +127,17 @@ def line_frequency_verdicts(documents: DataFrame, max_documents: int = 10, min_w
     gives an empty result; other columns are ignored.
     """
     stats = materialize(document_statistics(documents).withColumn("_rid", F.monotonically_increasing_id()), "line-stats")
+    return _judged(stats, max_documents, min_words, min_share).drop("_rid")
+
+
+def row_verdicts(documents: DataFrame, max_documents: int = 10, min_words: int = 10, min_share: float = 0.25) -> DataFrame:
+    """``line_frequency_verdicts`` of documents that have row ids, with these (_rid)."""
+    return _judged(materialize(document_statistics(documents, "_rid"), "line-stats"), max_documents, min_words, min_share)
+
+
+def _judged(stats: DataFrame, max_documents: int, min_words: int, min_share: float) -> DataFrame:
     removed = _removals(stats, max_documents).groupBy("_rid").agg(F.sum("n").cast("long").alias("removed_words"))
-    return _verdicts(stats, removed, min_words, min_share).drop("_rid")
+    return _verdicts(stats, removed, min_words, min_share)
 
 
 def cleaned_documents(documents: DataFrame, max_documents: int = 10, min_words: int = 10, min_share: float = 0.25) -> DataFrame:

@@ -6,7 +6,7 @@ from itertools import groupby
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markspan.llm.tables import materialize, ship
@@ -190,6 +190,7 @@ def mixed_rows(documents: DataFrame, seed: int = 11) -> DataFrame:
 
     out = repeated(taken(by_id), "_copies div _n")
     uneven = by_id.where("_copies % _n > 0")
-    if not uneven.isEmpty():  # repeated rows with different numbers of copies: one of them gets the rest
-        out = out.union(repeated(taken(uneven).dropDuplicates(["doc_id", "source", "_size"]), "_copies % _n"))
+    if not uneven.isEmpty():  # repeated keys with different numbers of copies: as many of their rows as are left over get one more
+        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text")))
+        out = out.union(taken(uneven).withColumn("_nth", nth).where("_nth <= _copies % _n").select(*documents.columns))
     return out

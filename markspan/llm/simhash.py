@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspan.llm.components import connected_components
@@ -41,16 +41,17 @@ def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(documents: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp, ``more`` columns of longs): the fingerprint as a signed long."""
     ship(documents.sparkSession)
 
     def digest(batches):
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digest, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *more))
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(digest, schema)
 
 
 def _roots(links_of, n: int) -> np.ndarray:
@@ -137,13 +138,31 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     digest = materialize(fingerprints(documents), "fingerprints")
-    classes = materialize(digest.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    groups = materialize(connected_components(near_fingerprints(classes.select("fp"))), "fp-components", small=True)
-    named = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = _classes(digest, F.col("doc_id"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     names = materialize(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp-names")
     return digest.join(names.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+def later_rows(documents: DataFrame) -> DataFrame:
+    """(_rid) of the rows that are not the first of their class of near-duplicates.
+
+    ``documents`` has row ids (_rid). The first row is the one with the smallest
+    doc_id and, of those, the smallest row id; null doc_ids order last. So one
+    row of each class stays, whatever the doc_ids.
+    """
+    digest = materialize(fingerprints(documents, "_rid"), "fingerprints")
+    named = _classes(digest, F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_rid").alias("c")))
+    firsts = named.groupBy("component").agg(F.min("first")["c"].alias("_rid")).select("_rid")
+    return digest.select("_rid").join(firsts.hint("merge"), "_rid", "left_anti")
+
+
+def _classes(digest: DataFrame, order: Column) -> DataFrame:
+    """(fp, first, component): the least ``order`` of each fingerprint's rows, and the class it is linked into."""
+    classes = materialize(digest.groupBy("fp").agg(F.min(order).alias("first")), "classes")
+    groups = materialize(connected_components(near_fingerprints(classes.select("fp"))), "fp-components", small=True)
+    return classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def fingerprint_classes(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from markspan.llm import language_id, mixing
-from tests.llm.helpers import SCHEMA, documents
+from tests.llm.helpers import SCHEMA, documents, sentence
 from tests.llm.test_line_quality import brute as quality
 from tests.llm.test_simhash import classes, plain_fingerprint
 
@@ -52,3 +53,25 @@ def test_stages_return_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_rows_without_or_with_repeated_ids_are_judged_each(spark):
+    rng = random.Random(7)
+    clean = [sentence(rng, "en", 60) for _ in range(5)]
+    rows = [(None, "short", "en", "s", 1), (None, clean[0], "en", "s", 1), (None, clean[0], "en", "s", 1), (1, clean[0], "en", "s", 1)]
+    rows += [(None, clean[1], "en", "s", 1), (None, clean[1], "en", "s", 1), (2, clean[2], "en", "s", 1), (2, "short", "en", "s", 1)]
+    rows += [(3, clean[3], "en", "s", 1), (3, clean[0], "en", "s", 1), (3, clean[4], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    fine = corpus_pipeline.quality_rules(spark, docs, "")
+    assert Counter(map(tuple, fine.collect())) == Counter(r for r in rows if r[1] != "short")
+    once = corpus_pipeline.simhash_near_duplicates(spark, fine, "")
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == Counter([(1, clean[0]), (None, clean[1]), (2, clean[2]), (3, clean[3]), (3, clean[4])])
+
+
+def test_rows_without_ids_share_the_copies_of_the_mixture(spark):
+    rng = random.Random(8)
+    rows = [(None, sentence(rng, "en", 30), "en", source, 1) for source in ("a", "b", "c") for _ in range(20)]
+    taken = Counter(r.text for r in corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    for source in ("a", "b", "c"):
+        times = [taken[text] for _, text, _, s, _ in rows if s == source]
+        assert max(times) - min(times) <= 1
