@@ -15,7 +15,6 @@ from markspan.llm.tables import keep_ids, materialize, ship
 ORDER = 4
 #: Bound of the sample each model learns from: documents per language, by a hash of doc_id.
 SAMPLE_DOCUMENTS = 250
-MAX_LANGUAGES = 200
 CALIBRATION = 5
 SHARPNESS = 20.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -257,22 +256,21 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS) -> dict[str, list[str]]:
     """Whole texts of up to ``per_language`` documents of each language that are not held out, by a hash of doc_id.
 
-    Languages are counted first and are the MAX_LANGUAGES most frequent. A test
-    of the hash, by each language's count, leaves some four times the documents
-    wanted; only their ids and languages are ranked. The texts of the chosen ids
-    are read in a second scan.
+    Every language found is learnt. A test of the hash, by each language's
+    count, leaves some four times the documents wanted; only their ids and
+    languages are ranked. The texts of the chosen ids are read in a second scan.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    every = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / (4 * per_language)))
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", every.alias("every")), "languages", small=True)
+    if counts.isEmpty():
         return {}
-    every = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (4 * per_language)))))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
-        known.where(F.col("lang").isin(list(counts)))
-        .select("doc_id", "lang")
-        .where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), every[F.col("lang")]) == 0)
-        .withColumn("rank", F.row_number().over(order))
+        known.select("doc_id", "lang")
+        .join(F.broadcast(counts), "lang")
+        .where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.col("every")) == 0)
+        .select("doc_id", "lang", F.row_number().over(order).alias("rank"))
         .where(F.col("rank") <= per_language)
     )
     chosen = materialize(ids.select("doc_id").distinct(), "training-ids", small=True)

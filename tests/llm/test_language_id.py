@@ -86,3 +86,13 @@ def test_nothing_to_learn_from(spark):
     df = frame(spark, documents(10))
     assert L.identify_documents(df.limit(0)).count() == 0
     assert {r.lang_pred for r in L.identify_documents(df.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+def test_learns_every_language(spark):
+    """More than 200 languages, each of letters of its own."""
+    rng = random.Random(4)
+    text = lambda k: "".join(rng.choice([*(chr(0xAC00 + 6 * k + j) for j in range(6)), " "]) for _ in range(60))
+    rows = [(230 * i + k, text(k), f"x{k}", "s", 1) for k in range(230) for i in range(8 if k < 200 else 6)]
+    model = L.train(L.training_sample(frame(spark, rows)))
+    assert model.languages == sorted(f"x{k}" for k in range(230))
+    assert [model.predict(text(k))[0] for k in range(230)] == [f"x{k}" for k in range(230)]
