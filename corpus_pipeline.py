@@ -18,7 +18,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of lines that their host repeats; each row by its own verdict."""
+    """Documents that pass the base rules and are not depleted of lines that their host repeats; each row by its own verdict.
+
+    Only whole documents go: the texts of those that stay keep their lines (``line_quality.cleaned_documents`` removes lines).
+    """
     rows = with_row_id(docs.select(*COLUMNS), "rows")
     rejected = materialize(line_quality.row_verdicts(rows).where("NOT kept").select("_rid"), "rejected")
     return keep_ids(rows, rejected, "_rid", "left_anti").select(*COLUMNS)
