@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspan.llm.components import connected_components
-from markspan.llm.tables import materialize, ship
+from markspan.llm.components import connected_components, union
+from markspan.llm.tables import BROADCAST_ROWS, discard, materialize, ship
 
-TILE_ROWS = 4_096
-MAX_TILES = 1_024
+#: Rows of a tile, and bytes of its double-precision matrix; a leaf of up to twice as many rows is one tile.
+TILE_ROWS, TILE_BYTES = 4_096, 1 << 22
+#: Tiles that a task holds while others stream past.
+GROUP_TILES = 16
+#: Bound of the sample that the axes and the order of tiles are fitted on.
 SAMPLE_ROWS = 10_000
-STEP_DIMS = 16
-SAFE = 1e-9
+LEAF_SAMPLE = 16
+FIRST_DIMS, STEP_DIMS = 24, 16
+#: Far above the rounding of double and single precision sums of products of unit vectors.
+SAFE, SAFE_SINGLE = 1e-9, 1e-5
+#: Rows multiplied, and pairs finished, at a time.
+_BLOCK, _PAIRS = 64, 1 << 15
 
 
 def pca_basis(unit: np.ndarray) -> np.ndarray:
@@ -23,89 +32,131 @@ def pca_basis(unit: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(vectors[:, ::-1])
 
 
-def build_tree(points: np.ndarray, depth: int) -> list[tuple[int, float]]:
-    """Median splits of the sample's leading coordinates: (coordinate, value) of each inner node in heap order."""
-    nodes: list[tuple[int, float]] = []
+def build_tree(points: np.ndarray, depth: int) -> list[tuple[np.ndarray, float]]:
+    """Splits (direction, value) of each inner node in heap order.
+
+    A node splits its sample along the sample's own leading axis: at the widest
+    gap between its quartiles if that is a tenth of their distance, so that
+    clusters stay whole, else at the median.
+    """
+    nodes: list[tuple[np.ndarray, float]] = []
     groups = [points]
-    for level in range(depth):
-        axis = level % points.shape[1] if points.shape[1] else 0
+    for _ in range(depth):
         following = []
         for g in groups:
-            cut = float(np.median(g[:, axis])) if len(g) else 0.0
+            if len(g) < 2:
+                axis, cut = np.zeros(points.shape[1]), 1.0  # all to the left
+            else:
+                axis = np.linalg.eigh(np.cov(g.T).reshape(g.shape[1], -1))[1][:, -1]
+                at = np.sort(g @ axis)
+                lo, hi = (len(at) - 1) // 4, max((len(at) - 1) // 4 + 1, 3 * len(at) // 4)
+                k = lo + int(np.argmax(np.diff(at[lo : hi + 1])))
+                hole = at[k + 1] - at[k] >= 0.1 * (at[hi] - at[lo])
+                cut = float(at[k] + at[k + 1]) / 2 if hole else float(np.median(at))
             nodes.append((axis, cut))
-            following += [g[g[:, axis] < cut], g[g[:, axis] >= cut]]
+            side = g @ axis >= cut
+            following += [g[~side], g[side]]
         groups = following
     return nodes
 
 
-def leaf_of(points: np.ndarray, nodes: list[tuple[int, float]]) -> np.ndarray:
+def leaf_of(points: np.ndarray, nodes: list[tuple[np.ndarray, float]]) -> np.ndarray:
     at = np.zeros(len(points), np.int64)
-    axes, cuts = np.array([n[0] for n in nodes], dtype=np.int64), np.array([n[1] for n in nodes])
-    for _ in range((len(nodes) + 1).bit_length() - 1):
-        at = 2 * at + 1 + (points[np.arange(len(points)), axes[at]] >= cuts[at])
+    for n, (axis, cut) in enumerate(nodes):
+        here = np.flatnonzero(at == n)
+        if len(here):
+            at[here] = 2 * n + 1 + (points[here] @ axis >= cut)
     return at - len(nodes)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j), i < j within one tile, with dot product >= threshold.
+def ball(unit: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre (a unit vector) and the largest angle from it to any of the unit vectors."""
+    centre = unit.sum(axis=0)
+    size = np.linalg.norm(centre)
+    centre = centre / size if size > 1e-6 else unit[0]
+    return centre, float(np.arccos(np.clip((unit @ centre).min(), -1.0, 1.0)))
 
-    Dot products grow by STEP_DIMS leading coordinates at a time. What is left
-    is bounded by the product of the suffix norms, so pairs that cannot reach
-    the threshold drop out; the few that stay are finished by themselves.
-    """
-    dims = a.shape[1]
-    tails = [np.sqrt(np.maximum(0.0, np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1])) for x in (a, b)]
-    tails = [np.concatenate([t, np.zeros((len(t), 1))], axis=1) for t in tails]
-    left, right = [], []
-    for lo in range(0, len(a), 512):
-        block = a[lo : lo + 512]
-        k = min(STEP_DIMS, dims)
-        dots = block[:, :k] @ b[:, :k].T
-        while True:
-            bound = threshold - SAFE - np.multiply.outer(tails[0][lo : lo + 512, k], tails[1][:, k])
-            alive = dots >= bound
-            if same:
-                alive &= np.arange(lo, lo + len(block))[:, None] < np.arange(len(b))[None, :]
-            if k == dims or np.count_nonzero(alive) * 20 < alive.size:
-                break
-            to = min(dims, k + STEP_DIMS)
-            dots += block[:, k:to] @ b[:, k:to].T
-            k = to
-        i, j = np.nonzero(alive)
-        partial = dots[i, j]
-        while k < dims and len(i):
-            to = min(dims, k + STEP_DIMS)
-            partial = partial + np.einsum("ij,ij->i", block[i, k:to], b[j, k:to])
-            k = to
-            stay = partial >= threshold - SAFE - tails[0][lo + i, k] * tails[1][j, k]
-            i, j, partial = i[stay], j[stay], partial[stay]
-        stay = np.einsum("ij,ij->i", block[i], b[j]) >= threshold if len(i) else np.zeros(0, bool)
-        left.append(lo + i[stay])
-        right.append(j[stay])
-    return np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
 
+def out_of_reach(a: tuple[np.ndarray, float], b: tuple[np.ndarray, float], threshold: float) -> bool:
+    """No vector of ball a can have a cosine >= threshold with one of ball b."""
+    return float(np.arccos(np.clip(a[0] @ b[0], -1.0, 1.0))) - a[1] - b[1] > _most_angle(threshold)
 
-def _unit(flat: np.ndarray, dims: int) -> np.ndarray:
-    x = flat.reshape(-1, dims).astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
+def _most_angle(threshold: float) -> float:
+    return float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
+
+
+class Tile:
+    """Rows of one tile: the vectors as stored, scaled by powers of two, and as unit vectors along the principal axes."""
+
+    def __init__(self, raw: np.ndarray, basis: np.ndarray):
+        self.raw = scaled(raw)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.raw, self.raw))
+        self.unit = (self.raw / self.norm[:, None]) @ basis
+        self.ball = ball(self.unit)
+        squares = np.cumsum((self.unit * self.unit)[:, ::-1], axis=1)[:, ::-1]
+        self.tails = np.concatenate([np.sqrt(np.maximum(0.0, squares)), np.zeros((len(raw), 1))], axis=1)
+        k = min(FIRST_DIMS, raw.shape[1])
+        # leading coordinates and, as one more, the suffix norm: a product of two such rows bounds the dot product
+        self.lead = np.concatenate([self.unit[:, :k], self.tails[:, k : k + 1]], axis=1).astype(np.float32)
 
-def _block(matrix: bytes, kind: str, dims: int, basis: np.ndarray) -> np.ndarray:
-    return _unit(np.frombuffer(matrix, kind), dims) @ basis
 
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Double precision with the largest component of each row in [0.5, 1): by powers of two, so without rounding."""
+    x = raw.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
-def _star(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Root (a member index) of each of n members over the links (i, j)."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+
+def link_blocks(a: Tile, b: Tile, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i < j within one tile, with cosine >= threshold, block by block.
+
+    The first leading coordinates are multiplied at once; a pair whose dot
+    product over these and whose suffix norms' product cannot reach the
+    threshold drops out. The pairs that stay go on by STEP_DIMS coordinates
+    under the same bound. What ends within SAFE of the threshold is decided by
+    the vectors as stored: dot product over product of norms.
+    """
+    dims = a.unit.shape[1]
+    for lo in range(0, len(a.unit), _BLOCK):
+        rows = slice(lo, lo + _BLOCK)
+        alive = a.lead[rows] @ b.lead.T >= np.float32(threshold - SAFE_SINGLE)
+        if same:
+            alive &= np.arange(lo, lo + len(alive))[:, None] < np.arange(len(b.unit))[None, :]
+        if np.count_nonzero(alive) * 10 > alive.size:  # crowded: whole products
+            dots = a.unit[rows] @ b.unit.T
+            alive &= dots >= threshold - SAFE
+            i, j = np.nonzero(alive)
+            found = [(i + lo, j, dots[i, j])]
+        else:
+            i, j = np.divmod(np.flatnonzero(alive), len(b.unit))
+            found = [_finished(a, b, i[at : at + _PAIRS] + lo, j[at : at + _PAIRS], threshold, dims) for at in range(0, len(i), _PAIRS)]
+        for i, j, dot in found:
+            near = np.flatnonzero(dot < threshold + SAFE)
+            if len(near):
+                p, q = i[near], j[near]
+                stay = np.ones(len(i), bool)
+                stay[near] = np.einsum("ij,ij->i", a.raw[p], b.raw[q]) / (a.norm[p] * b.norm[q]) >= threshold
+                i, j = i[stay], j[stay]
+            if len(i):
+                yield i, j
+
+
+def _finished(a: Tile, b: Tile, i: np.ndarray, j: np.ndarray, threshold: float, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    dot = np.zeros(len(i))
+    for k in range(0, dims, STEP_DIMS):
+        to = min(dims, k + STEP_DIMS)
+        dot = dot + np.einsum("ij,ij->i", a.unit[i, k:to], b.unit[j, k:to])
+        stay = dot >= threshold - SAFE - a.tails[i, to] * b.tails[j, to]
+        i, j, dot = i[stay], j[stay], dot[stay]
+    return i, j, dot
+
+
+def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, basis: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of ``link_blocks`` of two matrices of vectors."""
+    axes = np.eye(a.shape[1]) if basis is None else basis
+    first = Tile(a, axes)
+    found = list(link_blocks(first, first if same else Tile(b, axes), threshold, same))
+    return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
 
 def _vectors(frame: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -118,8 +169,14 @@ def _kept(frame: DataFrame, vec_col: str) -> Column:
     return F.col(vec_col) if kind == "array<float>" else F.col(vec_col).cast("array<double>")
 
 
-def _compare(distinct: DataFrame, dims: int, count: int, threshold: float, tile_rows: int) -> DataFrame:
-    """(kind, a, b): kind 0 links of row a to b other vectors found in one tile pair, kind 1 an edge of the components."""
+def _unit(flat: np.ndarray, dims: int) -> np.ndarray:
+    x = scaled(flat.reshape(-1, dims))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _compare(distinct: DataFrame, dims: int, count: int, threshold: float, tile_rows: int, group_tiles: int) -> tuple[DataFrame, int]:
+    """The number of tiles and (kind, a, b): kind 0 links of row a to b other vectors found in one pair of groups, kind 1 an
+    edge of the components, kind 2 the number a of pairs of tiles compared."""
     spark = distinct.sparkSession
     ship(spark)
     every = max(1, count // SAMPLE_ROWS)
@@ -128,107 +185,162 @@ def _compare(distinct: DataFrame, dims: int, count: int, threshold: float, tile_
         sample = distinct.select("v").limit(SAMPLE_ROWS).collect()
     unit = _unit(np.array([r["v"] for r in sample], dtype=np.float64), dims)
     basis = pca_basis(unit)
-    lead = min(dims, 8)
     stored = dict(distinct.dtypes)["v"]
     kind = "<f4" if stored == "array<float>" else "<f8"
-    depth = max(0, min(MAX_TILES, -(-count // tile_rows)) - 1).bit_length()
-    nodes = build_tree((unit @ basis)[:, :lead], depth)
-    shared = spark.sparkContext.broadcast((basis, nodes, lead))
+    tile_rows = max(1, min(tile_rows, TILE_BYTES // (8 * dims)))
+    # the sample bounds the leaves; crowded leaves are dealt into several tiles
+    depth = max(0, min(-(-count // tile_rows), len(unit) // LEAF_SAMPLE) - 1).bit_length()
+    nodes = build_tree(unit, depth)
+    shared = spark.sparkContext.broadcast((basis, nodes))
 
     def place(batches):
-        basis, nodes, lead = shared.value
+        nodes = shared.value[1]
         for batch in batches:
-            y = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False), dims) @ basis[:, :lead] if batch.num_rows else np.zeros((0, lead))
-            leaf = leaf_of(y, nodes) if nodes else np.zeros(len(y), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(leaf.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), lead).cast(pa.list_(pa.float64()))], names=["id", "v", "n", "leaf", "lead"])
-
-    placed = materialize(distinct.mapInArrow(place, f"id long, v {stored}, n long, leaf int, lead array<double>"), "placed")
-    # a crowded leaf is dealt into several tiles by a hash of the id
-    rows = 2 * max(tile_rows, -(-count // MAX_TILES))
-    crowd = {r["leaf"]: -(-r["count"] // rows) for r in placed.groupBy("leaf").count().collect()}
-    salts = F.create_map(*(F.lit(x) for pair in crowd.items() for x in pair))
-    tiled = placed.withColumn("tile", F.col("leaf") * 65_536 + F.pmod(F.xxhash64("id", F.lit(1)), salts[F.col("leaf")]).cast("int"))
-    bounds = [f(F.col("lead")[d]).alias(f"{n}{d}") for d in range(lead) for n, f in (("lo", F.min), ("hi", F.max))]
-    boxes = sorted(tiled.groupBy("tile").agg(*bounds).collect(), key=lambda r: r["tile"])
-    lo = np.array([[r[f"lo{d}"] for d in range(lead)] for r in boxes])
-    hi = np.array([[r[f"hi{d}"] for d in range(lead)] for r in boxes])
-    reach = 2.0 - 2.0 * threshold + 1e-6
-    pairs = []
-    for i in range(len(boxes)):
-        gap = np.maximum(0.0, np.maximum(lo[i:] - hi[i], lo[i] - hi[i:]))
-        pairs += [(boxes[i]["tile"], boxes[i + int(k)]["tile"]) for k in np.flatnonzero((gap * gap).sum(axis=1) <= reach)]
-    # rows of a tile meet in each of its pairs; MAX_TILES bounds the pairs
-    meet = spark.createDataFrame([(t, n) for n, p in enumerate(pairs) for t in dict.fromkeys(p)], "tile int, pair int")
-
-    blobs = tiled.groupBy("tile").applyInArrow(_pack_tile, "tile int, ids binary, ns binary, matrix binary")
-    blobs = materialize(blobs, "tiles")
-    together = blobs.join(F.broadcast(meet), "tile").repartition(max(1, min(len(pairs), 4_096)), "pair")
-
-    def compare(table: pa.Table) -> pa.Table:
+            points = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False), dims) if batch.num_rows else np.zeros((0, dims))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf_of(points, nodes).astype(np.int32))], names=["key", "v", "n", "leaf"])
+
+    placed = materialize(distinct.select("key", "v", "n").mapInArrow(place, f"key long, v {stored}, n long, leaf int"), "placed")
+    crowd = dict(placed.groupBy("leaf").count().collect())
+    parts = {leaf: 1 if n <= 2 * tile_rows else -(-n // tile_rows) for leaf, n in sorted(crowd.items())}
+    first = dict(zip(parts, np.concatenate([[0], np.cumsum(list(parts.values()))]).tolist(), strict=False))
+    by_leaf = lambda values: F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("leaf")]
+    tiled = placed.withColumn("tile", (by_leaf(first) + F.pmod(F.xxhash64("key", F.lit(1)), by_leaf(parts))).cast("long"))
+    n_tiles = sum(parts.values())
+
+    def pack(table: pa.Table) -> pa.Table:
+        values = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        ids, ns = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype("<i8") for c in ("key", "n"))
+        centre, angle = ball(_unit(values, dims) @ shared.value[0])
+        return pa.table({"tile": table.column("tile")[:1], "ids": [ids.tobytes()], "ns": [ns.tobytes()], "matrix": [values.tobytes()], "centre": [centre.tolist()], "angle": [angle]})
+
+    # tiles that follow each other form groups; a pair of groups is a task, so a tile moves once per group
+    groups = max(-(-n_tiles // group_tiles), min(n_tiles, int((8 * spark.sparkContext.defaultParallelism) ** 0.5)))
+    grouped = tiled.groupBy("tile").applyInArrow(pack, "tile long, ids binary, ns binary, matrix binary, centre array<double>, angle double")
+    tiles = materialize(grouped.withColumn("g", F.floor(F.col("tile") * groups / n_tiles).cast("int")), "tiles")
+    discard(placed)
+    meet = materialize(_meetings(tiles, groups, threshold), "meetings")
+    pairs = meet.count()
+    to = F.broadcast(meet) if pairs <= BROADCAST_ROWS else meet.hint("merge")
+    dealt = tiles.drop("centre", "angle").join(to, "g").repartition(max(1, min(pairs, 8 * groups * groups)), "low", "high").sortWithinPartitions("low", "high", "second", "tile")
+
+    def compare(batches):
         basis = shared.value[0]
-        tiles = sorted(zip(*(table.column(c).to_pylist() for c in ("tile", "ids", "ns", "matrix")), strict=True))
-        first, second = tiles[0], tiles[-1]
-        same = len(tiles) == 1
-        ids = [np.frombuffer(t[1], "<i8") for t in (first, second)]
-        ns = [np.frombuffer(t[2], "<i8") for t in (first, second)]
-        a = _block(first[3], kind, dims, basis)
-        b = a if same else _block(second[3], kind, dims, basis)
-        i, j = tile_links(a, b, threshold, same)
-        off = 0 if same else len(a)
-        every_id = ids[0] if same else np.concatenate(ids)
-        links = np.zeros(len(every_id), np.int64)
-        np.add.at(links, i, ns[1][j])
-        np.add.at(links, j + off, ns[0][i])
-        root = _star(i, j + off, len(every_id))
-        some, apart = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
-        what = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(apart), np.int32)])
-        return pa.table({"kind": what, "a": np.concatenate([every_id[some], every_id[apart]]), "b": np.concatenate([links[some], every_id[root[apart]]])})
-
-    return materialize(together.groupBy("pair").applyInArrow(compare, "kind int, a long, b long"), "tile-links")
-
-
-def _pack_tile(table: pa.Table) -> pa.Table:
-    values = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    ids, ns = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype("<i8") for c in ("id", "n"))
-    return pa.table({"tile": pa.array([table.column("tile")[0].as_py()], pa.int32()), "ids": [ids.tobytes()], "ns": [ns.tobytes()], "matrix": [values.tobytes()]})
-
-
-def near_links(embeddings: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tile_rows: int = TILE_ROWS) -> DataFrame:
+        at, held, out = None, [], []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cell = {n: batch.column(k)[row].as_py() for k, n in enumerate(batch.schema.names)}
+                if (cell["low"], cell["high"]) != at:
+                    if at:
+                        yield _found(held, out)
+                    at, held, out = (cell["low"], cell["high"]), [], []
+                tile = Tile(np.frombuffer(cell["matrix"], kind).reshape(-1, dims), basis)
+                tile.ids, tile.ns = np.frombuffer(cell["ids"], "<i8"), np.frombuffer(cell["ns"], "<i8")
+                tile.links = np.zeros(len(tile.ids), np.int64)
+                own = at[0] == at[1]
+                if own or cell["second"]:
+                    out += [_against(other, tile, threshold) for other in held]
+                if own:
+                    out.append(_against(tile, tile, threshold))
+                if cell["second"]:
+                    out.append(_links_of(tile))
+                else:
+                    held.append(tile)
+        if at:
+            yield _found(held, out)
+
+    columns = ["low", "high", "second", "ids", "ns", "matrix"]
+    found = materialize(dealt.select(*columns).mapInArrow(compare, "kind int, a long, b long"), "tile-links")
+    discard(tiles, meet)
+    return found, n_tiles
+
+
+def _meetings(tiles: DataFrame, groups: int, threshold: float) -> DataFrame:
+    """(g, low, high, second): the pairs of groups that each group's tiles go to, without those whose balls are out of reach."""
+
+    def around(table: pa.Table) -> pa.Table:
+        centres = np.array(table.column("centre").to_pylist())
+        centre, _ = ball(centres)
+        reach = np.arccos(np.clip(centres @ centre, -1.0, 1.0)) + table.column("angle").to_numpy()
+        return pa.table({"g": table.column("g")[:1], "c": [centre.tolist()], "r": [float(reach.max())]})
+
+    balls = materialize(tiles.select("g", "centre", "angle").groupBy("g").applyInArrow(around, "g int, c array<double>, r double"), "groups")
+    left = balls.select(F.col("g").alias("low"), "c", "r", F.explode(F.sequence("g", F.lit(groups - 1))).alias("high"))
+    right = balls.select(F.col("g").alias("high"), F.col("c").alias("d"), F.col("r").alias("q"))
+    dot = F.aggregate(F.zip_with("c", "d", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("r") - F.col("q")
+    pairs = left.join(right, "high").where((apart <= _most_angle(threshold)) | (F.col("low") == F.col("high")))
+    return pairs.select(F.col("low").alias("g"), "low", "high", F.lit(False).alias("second")).union(pairs.where("low <> high").select("high", "low", "high", F.lit(True)))
+
+
+def _against(a: Tile, b: Tile, threshold: float) -> pa.RecordBatch:
+    """Count the links between two tiles into the tiles' rows; returns the edges that join the linked vectors."""
+    same = a is b
+    if not same and out_of_reach(a.ball, b.ball, threshold):
+        return _rows(2, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    off = 0 if same else len(a.ids)
+    label = np.arange(off + len(b.ids))
+    for i, j in link_blocks(a, b, threshold, same):
+        a.links += np.bincount(i, weights=b.ns[j], minlength=len(a.ids)).astype(np.int64)
+        b.links += np.bincount(j, weights=a.ns[i], minlength=len(b.ids)).astype(np.int64)
+        union(label, i, j + off)
+    every = b.ids if same else np.concatenate([a.ids, b.ids])
+    apart = np.flatnonzero(label != np.arange(len(label)))
+    return pa.concat_batches([_rows(1, every[apart], every[label[apart]]), _rows(2, np.ones(1, np.int64), np.zeros(1, np.int64))])
+
+
+def _links_of(tile: Tile) -> pa.RecordBatch:
+    some = np.flatnonzero(tile.links)
+    return _rows(0, tile.ids[some], tile.links[some])
+
+
+def _found(held: list[Tile], out: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.concat_batches([*out, *map(_links_of, held)])
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+
+def near_links(embeddings: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tile_rows: int = TILE_ROWS, group_tiles: int = GROUP_TILES) -> DataFrame:
     """(vec_id, n_links, component_id, kept): links of cosine >= threshold, in double precision, over all rows.
 
     Equal vectors are one row of the comparison with their number as weight, so
     copies are never paired. The different ones are rotated to principal axes
-    (fitted on about SAMPLE_ROWS rows by a hash of the id; any rotation gives
-    the same links), ordered into tiles by splits along the leading axes, and
-    pairs of tiles whose boxes are too far apart are skipped. A tile pair
-    returns a count per row and a spanning star per group of links, not pairs.
-    Up to MAX_TILES tiles are made; beyond that tiles grow.
-
-    A vector that is null, empty, all zero or holds null or non-finite numbers
-    links with nothing; nor do vectors of different lengths. A null id links
-    with nothing and is its own null component with kept true. Repeated rows are
-    other vectors that link. An empty table gives an empty result.
+    and ordered into tiles of bounded size by splits along the leading axes
+    (both fitted on about SAMPLE_ROWS rows by a hash of the id; any rotation and
+    any order give the same links). A tile has a ball around its vectors; pairs
+    of tiles, and of groups of tiles, whose balls are out of reach are skipped.
+    A task holds one group of tiles while another streams past, and returns
+    counts and a spanning star per group of links, not pairs. On vectors without
+    structure all tiles are in reach, so the work is quadratic, if by a small
+    factor (most pairs end after the first FIRST_DIMS coordinates).
+
+    The cosine is the dot product over the product of the norms, in double
+    precision on the vectors as stored (scaled by powers of two), so a cosine of
+    just the threshold links. A vector that is null, empty, all zero or holds
+    null or non-finite numbers links with nothing; nor do vectors of different
+    lengths. A null id links with nothing and is its own null component with kept
+    true. Repeated rows are other vectors that link; other columns are ignored.
+    An empty table gives an empty result.
     """
     spark = embeddings.sparkSession
     table = materialize(_vectors(embeddings, id_col, vec_col), "vectors")
-    lengths = {r["d"]: r["n"] for r in table.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    distinct = materialize(table.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "v", "n"), "different-vectors")
+    different = table.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    distinct = materialize(different.select(F.monotonically_increasing_id().alias("key"), "id", "v", "n"), "different-vectors")
     counts = dict(distinct.groupBy(F.size("v").alias("d")).count().collect())
-    found = None
-    for dims in sorted(lengths):
-        own = distinct.where(F.size("v") == dims)
-        part = _compare(own, dims, counts[dims], threshold, tile_rows)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "kind int, a long, b long")
-    components = connected_components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others"))
+    parts = [_compare(distinct.where(F.size("v") == dims), dims, counts[dims], threshold, tile_rows, group_tiles)[0] for dims in sorted(counts)]
+    found = spark.createDataFrame([], "kind int, a long, b long")
+    for part in parts:
+        found = found.union(part)
+    linked = connected_components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "key")
+    least = linked.join(distinct.select("key", "id"), "key").groupBy("component").agg(F.min("id").alias("least"))
+    names = linked.join(least, "component").select("key", "least")
+    links = found.where("kind = 0").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("others"))
     classes = materialize(
-        distinct.join(links.withColumnRenamed("a", "id"), "id", "left")
-        .join(components.withColumnRenamed("node", "id"), "id", "left")
-        .select("v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")),
+        distinct.join(links, "key", "left").join(names, "key", "left").select("v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id")),
         "vector-classes",
     )
+    discard(distinct, *parts)
     of_row = table.join(classes.hint("merge"), "v").select("id", "n_links", "component_id")
     rest = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col)).where(~_is_vector(id_col="id", vec_col=vec_col))
     single = rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -48,16 +48,33 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    ``small`` is for what a shuffle has summed up: a file for every fourth
-    shuffle partition, as each file costs an executor a new process or two on
-    some file systems.
+    The table goes when the application ends, or before that by ``discard``.
+    ``small`` is for sums whose number does not grow with the rows: a file for
+    every fourth shuffle partition, as each file costs an executor a new process
+    or two on some file systems.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/markspan/{uuid.uuid4().hex}-{tag}"
     if small:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    where, files = _hadoop(spark, path)
+    files.deleteOnExit(where)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that nothing reads any more."""
+    for table in tables:
+        where, files = _hadoop(table.sparkSession, table._scratch)
+        files.delete(where, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def with_row_id(df: DataFrame, tag: str) -> DataFrame:
@@ -81,9 +98,18 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` has them, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8_size(text) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
-
-def unsigned_mod_hash(column, modulus: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(modulus))
