@@ -10,16 +10,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspan.llm.components import connected_components
+from markspan.llm.components import connected_components, union
 from markspan.llm.tables import materialize, ship
 
 BYTES = 8
 #: Two bits differ in two bytes at most, so six of the eight positional bytes are shared.
 MAX_BITS = 2
 LEAST_SHARED = BYTES - MAX_BITS
-POSITIONS = tuple(combinations(range(BYTES), LEAST_SHARED))
+#: Members of a posting that are tallied pair by pair; a larger one is split by one more byte position.
+POSTING = 512
 _CHUNK = 1 << 20
-_SMALL = 64
 
 
 def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int:
@@ -54,32 +54,24 @@ def fingerprints(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(digest, schema)
 
 
-def _roots(links_of, n: int) -> np.ndarray:
-    """Smallest member index reachable, by repeated minima over (i, j) link lists."""
-    label = np.arange(n)
-    i, j = links_of
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def tally_links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links within one posting: tally the positional bytes that each pair shares, keep the pairs with LEAST_SHARED
+    or more, and of those the ones with MAX_BITS or fewer differing bits."""
+    octets = members[:, None].view(np.uint8)
+    tally = np.zeros((len(members), len(members)), np.uint8)
+    for p in range(BYTES):
+        tally += octets[:, p, None] == octets[None, :, p]
+    i, j = np.nonzero(np.triu(tally >= LEAST_SHARED, 1))
+    close = np.bitwise_count(members[i] ^ members[j]) <= MAX_BITS
+    return i[close], j[close]
 
 
-def posting_links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links within one posting: pairs of different fingerprints with two or fewer differing bits.
+def neighbour_links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links within a posting whose members share LEAST_SHARED bytes: each looks up its neighbours at one and two bits.
 
-    Members of a posting share six positional bytes, so a posting has 65,536 at
-    most. Small ones compare all; larger ones look up each member's neighbours
-    at one and two bits, which is linear in the posting.
+    All pairs have the tally that is asked for, and the posting holds 65,536
+    members at most; the lookups are linear in these.
     """
-    n = len(members)
-    if n <= _SMALL:
-        bits = np.bitwise_count(members[:, None] ^ members[None, :])
-        i, j = np.nonzero(np.triu(bits <= MAX_BITS, 1))
-        return i, j
     differ = np.bitwise_or.reduce(members ^ members[0])
     free = [1 << b for b in range(64) if int(differ) >> b & 1]
     flips = [*free, *(a | b for a, b in combinations(free, 2))]
@@ -88,44 +80,113 @@ def posting_links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left, right = [], []
     for flip in flips:
         other = members ^ np.uint64(flip)
-        at = np.minimum(np.searchsorted(ordered, other), n - 1)
+        at = np.minimum(np.searchsorted(ordered, other), len(members) - 1)
         hit = np.flatnonzero((ordered[at] == other) & (members < other))
         left.append(hit)
         right.append(order[at[hit]])
     return np.concatenate(left), np.concatenate(right)
 
 
+def first_positions(n: int) -> int:
+    """How many byte positions a posting starts with, so that ``n`` spread fingerprints make about as many postings of one."""
+    return next((k for k in range(1, LEAST_SHARED) if 256**k >= 64 * n), LEAST_SHARED)
+
+
+def _masked(chosen: int) -> int:
+    """The signed long whose bytes at the chosen positions (a bit each) are set."""
+    value = sum(0xFF << (8 * p) for p in range(BYTES) if chosen >> p & 1)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def near_fingerprints(distinct: DataFrame) -> DataFrame:
     """Links (src, dst) that connect different fingerprints exactly as all links of <= 2 bits do.
 
-    The inverted index has a posting for each choice of six byte positions and
-    their values. A pair that shares m positional bytes meets in C(m, 6)
-    postings, so meeting at all is the count filter m >= 6: the tally is never
-    spread over single-byte postings, which hold 1/256 of all fingerprints
-    each. Verified links of a posting become a star around its members' roots,
-    one row per member at most.
+    Inverted index of positional bytes. A posting holds the fingerprints with the
+    same bytes at k chosen positions; as two linked fingerprints share six of the
+    eight, they share k of the first k + 2, so the choices among these are enough.
+    In a posting of up to POSTING members the shared bytes of each pair are
+    tallied, pairs with six or more are retained and verified. A larger posting
+    is split by one more position: its linked pairs share one of the first three
+    that are left. Postings of six positions hold 65,536 members at most. So no
+    posting is quadratic in the input, and no pair is lost. Verified links of a
+    posting become a star per group, one row per member at most.
     """
-
-    def link(batches):
-        for batch in batches:
-            src, dst = [], []
-            for members in batch.column(0):
-                found = np.sort(np.asarray(members.values.to_numpy(zero_copy_only=False)).view(np.uint64))
-                root = _roots(posting_links(found), len(found))
-                apart = np.flatnonzero(root != np.arange(len(found)))
-                src.append(found[apart])
-                dst.append(found[root[apart]])
-            both = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (src, dst)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["src", "dst"])
-
-    def mask(chosen):
-        value = sum(0xFF << (8 * b) for b in chosen)
-        return value - (1 << 64) if value >> 63 else value
-
-    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask(c)).cast("long")).alias("shared")) for k, c in enumerate(POSITIONS)))
-    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # 28 rows come of each
-    postings = spread.select("fp", F.inline(keys)).groupBy("k", "shared").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    return postings.select("members").mapInArrow(link, "src long, dst long")
+    spark = distinct.sparkSession
+    ship(spark)
+    k = first_positions(distinct.count())
+    choices = [sum(1 << p for p in c) for c in combinations(range(k + MAX_BITS), k)]
+    keyed = lambda options: F.inline(F.array(*(F.struct(F.lit(c).alias("chosen"), F.col("fp").bitwiseAND(F.lit(_masked(c)).cast("long")).alias("shared")) for c in options)))
+    members, found = distinct.select("fp", keyed(choices)), None
+    while True:
+        level = materialize(
+            members.repartition("chosen", "shared").sortWithinPartitions("chosen", "shared").select("chosen", "shared", "fp").mapInArrow(_tally, "chosen int, src long, dst long"), "postings"
+        )
+        links = level.where("chosen = 0").select("src", "dst")
+        found = links if found is None else found.union(links)
+        crowded = level.where("chosen <> 0").select("chosen", F.col("src").alias("fp")).distinct()
+        if k == LEAST_SHARED or crowded.isEmpty():
+            return found
+        k += 1
+        more = F.lit(None).cast("array<struct<chosen:int,shared:long>>")
+        for c in {r["chosen"] for r in crowded.select("chosen").distinct().collect()}:  # 56 choices at most
+            left = [p for p in range(BYTES) if not c >> p & 1][: MAX_BITS + 1]
+            split = F.array(*(F.struct(F.lit(c | 1 << p).alias("chosen"), F.col("fp").bitwiseAND(F.lit(_masked(c | 1 << p)).cast("long")).alias("shared")) for p in left))
+            more = F.when(F.col("chosen") == c, split).otherwise(more)
+        members = crowded.select("fp", F.inline(more)).distinct()
+
+
+def _tally(batches):
+    """Rows (chosen, shared, fp) in order of posting -> links (0, src, dst), and the members of larger postings (chosen, fp, 0)."""
+    held = [np.zeros(0, t) for t in (np.int32, np.int64, np.int64)]
+    crowd = None  # the posting at hand, if it is too large
+    for batch in batches:
+        held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+        chosen, shared, fp = held
+        out = []
+        if crowd is not None:
+            n = int(np.argmin(np.append((chosen == crowd[0]) & (shared == crowd[1]), False)))
+            out.append((chosen[:n], fp[:n], fp[:n] * 0))
+            chosen, shared, fp = chosen[n:], shared[n:], fp[n:]
+            crowd = None if len(fp) else crowd
+        starts = np.flatnonzero(np.diff(chosen, prepend=0).astype(bool) | np.diff(shared, prepend=0).astype(bool))
+        last = int(starts[-1]) if len(starts) else 0
+        out += _postings(chosen[:last], fp[:last], starts)
+        held = [chosen[last:], shared[last:], fp[last:]]
+        if len(held[0]) > POSTING and int(held[0][0]).bit_count() < LEAST_SHARED:
+            crowd = (held[0][0], held[1][0])
+            out.append((held[0], held[2], held[2] * 0))
+            held = [h[:0] for h in held]
+        yield _linked(out)
+    if len(held[0]):
+        yield _linked(_postings(held[0], held[2], np.array([0, len(held[0])])))
+
+
+def _postings(chosen: np.ndarray, fp: np.ndarray, starts: np.ndarray) -> list[tuple]:
+    ends = np.append(starts[starts > 0], len(fp))
+    starts = np.append(0, ends[:-1])
+    sizes = ends - starts
+    two = starts[sizes == 2]
+    a, b = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
+    tally = sum(((a ^ b) >> np.uint64(8 * p) & np.uint64(255) == 0).astype(np.int8) for p in range(BYTES))
+    close = (tally >= LEAST_SHARED) & (np.bitwise_count(a ^ b) <= MAX_BITS)
+    src, dst = np.maximum(a, b)[close].view(np.int64), np.minimum(a, b)[close].view(np.int64)
+    out = [(np.zeros(len(src), np.int32), src, dst)]
+    for lo, hi in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
+        members = np.ascontiguousarray(fp[lo:hi]).view(np.uint64)
+        if hi - lo > POSTING and int(chosen[lo]).bit_count() < LEAST_SHARED:
+            out.append((chosen[lo:hi], fp[lo:hi], fp[lo:hi] * 0))
+            continue
+        i, j = tally_links(members) if hi - lo <= POSTING else neighbour_links(members)
+        label = np.arange(len(members))
+        union(label, i, j)
+        apart = np.flatnonzero(label != np.arange(len(members)))
+        out.append((np.zeros(len(apart), np.int32), fp[lo:hi][apart], fp[lo:hi][label[apart]]))
+    return out
+
+
+def _linked(parts: list[tuple]) -> pa.RecordBatch:
+    columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), pa.array(columns[1]), pa.array(columns[2])], names=["chosen", "src", "dst"])
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -160,7 +221,7 @@ def later_rows(documents: DataFrame) -> DataFrame:
 def _classes(digest: DataFrame, order: Column) -> DataFrame:
     """(fp, first, component): the least ``order`` of each fingerprint's rows, and the class it is linked into."""
     classes = materialize(digest.groupBy("fp").agg(F.min(order).alias("first")), "classes")
-    groups = materialize(connected_components(near_fingerprints(classes.select("fp"))), "fp-components", small=True)
+    groups = connected_components(near_fingerprints(classes.select("fp")))
     return classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 

@@ -70,12 +70,52 @@ def test_links_over_crafted_fingerprints(spark):
     assert len(set(zip(groups, got, strict=True))) == len(set(groups)) == len(set(got))
 
 
-def test_large_posting_equals_small():
+@pytest.mark.parametrize(("posting", "positions"), [(2, 1), (5, 2), (40, 3), (3, 6)])
+def test_postings_of_any_size_and_split_give_the_same_classes(spark, monkeypatch, posting, positions):
+    """Crowded postings are split position by position, down to those of six."""
+    monkeypatch.setattr(simhash, "POSTING", posting)
+    monkeypatch.setattr(simhash, "first_positions", lambda n: positions)
+    rng = random.Random(11)
+    values = {rng.getrandbits(64) for _ in range(60)}
+    for at in list(values)[:6]:
+        values |= {at ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (rng.randrange(3) << rng.randrange(60)) for _ in range(40)}
+    values = sorted(values)
+    groups = classes(values)
+    frame = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in values], "fp long").repartition(3)
+    label = {r.node: r.component for r in connected_components(simhash.near_fingerprints(frame)).collect()}
+    got = [label.get(int(np.uint64(v).astype(np.int64)), v) for v in values]
+    assert len(set(zip(groups, got, strict=True))) == len(set(groups)) == len(set(got))
+
+
+def test_a_posting_over_several_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "POSTING", 4)
+    keys = [(3, 7, i) for i in range(2)] + [(3, 9, 100 + i) for i in range(11)] + [(5, 9, 1 << (i + 8)) for i in range(4)] + [(63, 0, 1 << i) for i in range(9)]
+    for size in (1, 2, 3, 5, 30):
+        batches = [pa.RecordBatch.from_arrays([pa.array([k[c] for k in keys[at : at + size]], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["chosen", "shared", "fp"]) for at in range(0, len(keys), size)]
+        rows = [r for out in simhash._tally(iter(batches)) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+        assert sorted(r[1] for r in rows if r[0] == 3) == list(range(100, 111)) and {r[0] for r in rows} == {0, 3}
+        links = {(a, b) for c, a, b in rows if c == 0}
+        assert {a for a, b in links} == {1, *(1 << (i + 8) for i in range(1, 4)), *(1 << i for i in range(1, 9))}
+
+
+def test_neighbours_equal_tally():
     rng = np.random.default_rng(2)
     members = np.unique(rng.integers(0, 1 << 10, 300).astype(np.uint64)) | np.uint64(0xABCDEF0000000000)
-    i, j = simhash.posting_links(members)
     want = {(a, b) for a in range(len(members)) for b in range(a) if int(members[a] ^ members[b]).bit_count() <= 2}
-    assert {(max(a, b), min(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
+    for found in (simhash.neighbour_links(members), simhash.tally_links(members)):
+        assert {(max(a, b), min(a, b)) for a, b in zip(*(x.tolist() for x in found), strict=True)} == want
+
+
+def test_components_by_rounds_equal_one_task(spark, monkeypatch):
+    from markspan.llm import components
+
+    rng = random.Random(6)
+    edges = spark.createDataFrame([(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 - i, 1001 - i) for i in range(40)], "src long, dst long")
+    want = sorted(map(tuple, connected_components(edges).collect()))
+    monkeypatch.setattr(components, "TASK_EDGES", 0)
+    assert sorted(map(tuple, connected_components(edges).collect())) == want
 
 
 def test_empty(spark):
