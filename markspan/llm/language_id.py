@@ -7,17 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspan.llm.tables import keep_ids, materialize, ship
+from markspan.llm.samples import bounded_sample
+from markspan.llm.tables import free_names, ship
 
 ORDER = 4
-#: Bound of the sample each model learns from: documents per language, by a hash of doc_id.
-SAMPLE_DOCUMENTS = 250
+#: Bound of the sample each model learns from: documents per language, by a hash of doc_id, and bytes of their texts.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 250, 4 << 20
 CALIBRATION = 5
 SHARPNESS = 20.0
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd multipliers: 2^64 over the golden ratio, and the one that joins the symbols of an n-gram.
+_MIX, _JOIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _PIECE = 1 << 20
 
 _LETTERS: list[np.ndarray] = []
@@ -47,18 +49,23 @@ def normalise(text: str) -> np.ndarray:
 
 
 def _mix(keys: np.ndarray) -> np.ndarray:
-    """Bijective scrambling of packed n-grams, so that sorted keys are spread evenly."""
+    """Bijective scrambling of n-gram hashes, so that sorted ones are spread evenly."""
     x = keys * _MIX
     x ^= x >> np.uint64(29)
     return x * _MIX
 
 
-def _pack(ids: np.ndarray, n: int) -> np.ndarray:
-    """Every n-gram of symbol ids (16 bits each) as one integer, at its last symbol."""
-    packed = ids[n - 1 :].astype(np.uint64)
-    for back in range(1, n):
-        packed |= ids[n - 1 - back : len(ids) - back].astype(np.uint64) << np.uint64(16 * back)
-    return packed
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of n-grams given as one column of symbols per place."""
+    out = columns[0].astype(np.uint64)
+    for column in columns[1:]:
+        out = out * _JOIN + column
+    return out
+
+
+def _places(ids: np.ndarray, n: int) -> list[np.ndarray]:
+    """Every n-gram of the symbols, as one column per place."""
+    return [ids[k : len(ids) - n + 1 + k].astype(np.uint64) for k in range(n)]
 
 
 class HashArray:
@@ -123,12 +130,12 @@ class LanguageModel:
             if n > 1:
                 full = at >= n - 1
                 here, rest = at[full], at[~full]
-                rows = self.grams[n - 1].find(_pack_at(ids, here, n))
+                rows = self.grams[n - 1].find(_hash_at(ids, here, n))
                 hit = rows >= 0
                 total += _row_sums(self.grams[n - 1].values, rows[hit])
                 missed = here[~hit]
                 if len(missed):
-                    context = self.backoffs[n - 2].find(_pack_at(ids, missed - 1, n - 1))
+                    context = self.backoffs[n - 2].find(_hash_at(ids, missed - 1, n - 1))
                     total += _row_sums(self.backoffs[n - 2].values, context[context >= 0])
                 at = np.concatenate([missed, rest])
             else:
@@ -157,13 +164,21 @@ def _row_sums(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return values[rows].sum(axis=0, dtype=np.float64)
 
 
-def _pack_at(ids: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+def _hash_at(ids: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams that end at the places ``last``."""
     if len(last) == len(ids) - n + 1 and n <= len(ids) and (not len(last) or last[0] == n - 1):
-        return _pack(ids, n)
-    packed = ids[last].astype(np.uint64)
-    for back in range(1, n):
-        packed |= ids[last - back].astype(np.uint64) << np.uint64(16 * back)
-    return packed
+        return _hash(_places(ids, n))
+    return _hash([ids[last - back].astype(np.uint64) for back in range(n - 1, -1, -1)])
+
+
+def _different(grams: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(hashes in order, columns, counts) of the different n-grams."""
+    keys, first, counts = np.unique(_hash(grams), return_index=True, return_counts=True)
+    return keys, [c[first] for c in grams], counts
+
+
+def _joined(parts: list[list[np.ndarray]], n: int) -> list[np.ndarray]:
+    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64) for k in range(n)]
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -185,23 +200,22 @@ def train(samples: dict[str, list[str]]) -> LanguageModel:
     languages = [x for x in languages if coded[x]]
     fit = {x: [c for i, c in enumerate(coded[x]) if i % CALIBRATION or len(coded[x]) < CALIBRATION] for x in languages}
     seen = np.unique(np.concatenate([c for x in languages for c in fit[x]])) if languages else np.zeros(0, np.uint32)
-    seen = seen[: (1 << 16) - 2]
-    symbols = np.zeros(int(seen.max()) + 2 if len(seen) else 1, np.uint16)
+    symbols = np.zeros(int(seen.max()) + 2 if len(seen) else 1, np.uint32)
     symbols[seen] = np.arange(1, len(seen) + 1)
     per = [_kneser_ney([symbols[c] for c in fit[x]], len(seen) + 1) for x in languages]
     grams, backoffs = [], []
-    union = [np.unique(np.concatenate([p["keys"][n] for p in per])) if per else np.zeros(0, np.uint64) for n in range(ORDER)]
+    union = [_different(_joined([p["grams"][n] for p in per], n + 1)) for n in range(ORDER)]
     below = None  # interpolated probabilities of the next lower order's union, per language
     for n in range(ORDER):
-        keys = union[n]
+        keys, places, _ = union[n]
         probability = np.zeros((len(keys), len(languages)))
         for k, p in enumerate(per):
             own = _lookup(p["keys"][n], p["discounted"][n], keys)
             if n == 0:
                 probability[:, k] = own + p["gamma0"] / (len(seen) + 1)
             else:
-                context = _lookup(p["contexts"][n - 1], p["gamma"][n - 1] - 1.0, keys >> np.uint64(16)) + 1.0
-                suffix = np.searchsorted(union[n - 1], keys & np.uint64((1 << (16 * n)) - 1))
+                context = _lookup(p["contexts"][n - 1], p["gamma"][n - 1] - 1.0, _hash(places[:-1])) + 1.0
+                suffix = np.searchsorted(union[n - 1][0], _hash(places[1:]))
                 probability[:, k] = own + context * below[suffix, k]
         below = probability
         grams.append(HashArray(keys, np.log(np.maximum(probability, 1e-12)).astype(np.float32)))
@@ -220,29 +234,26 @@ def train(samples: dict[str, list[str]]) -> LanguageModel:
 
 
 def _kneser_ney(texts: list[np.ndarray], alphabet: int) -> dict:
-    """Per order: keys, discounted relative counts, contexts and the mass each context leaves to the lower order."""
-    out: dict = {"keys": [], "discounted": [], "contexts": [], "gamma": []}
-    top = [_pack(t, ORDER) for t in texts if len(t) >= ORDER]
-    keys, counts = np.unique(np.concatenate(top) if top else np.zeros(0, np.uint64), return_counts=True)
-    levels = [(keys, counts)]
+    """Per order: n-grams and their hashes, discounted relative counts, contexts and the mass each context leaves to the lower order."""
+    out: dict = {"keys": [], "grams": [], "discounted": [], "contexts": [], "gamma": []}
+    levels = [_different(_joined([_places(t, ORDER) for t in texts if len(t) >= ORDER], ORDER))]
     for n in range(ORDER - 1, 0, -1):  # different symbols before each shorter n-gram; a text's start counts once
-        starts = [_pack(t[:n], n) for t in texts if len(t) >= n]
-        longer = levels[0][0] & np.uint64((1 << (16 * n)) - 1)
-        levels.insert(0, np.unique(np.concatenate([longer, np.unique(np.concatenate(starts)) if starts else longer[:0]]), return_counts=True))
-    for n, (keys, counts) in enumerate(levels):
+        starts = _different(_joined([_places(t[:n], n) for t in texts if len(t) >= n], n))[1]
+        levels.insert(0, _different(_joined([levels[0][1][1:], starts], n)))
+    for n, (keys, grams, counts) in enumerate(levels):
         ones, twos = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
         discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
         left = np.maximum(counts - discount, 0.0)
+        out["keys"].append(keys)
+        out["grams"].append(grams)
         if n == 0:
             total = max(1.0, float(counts.sum()))
-            out["keys"].append(keys)
             out["discounted"].append(left / total)
             out["gamma0"] = discount * len(keys) / total if len(keys) else 1.0
             continue
-        contexts, where = np.unique(keys >> np.uint64(16), return_inverse=True)
+        contexts, where = np.unique(_hash(grams[:-1]), return_inverse=True)
         total = np.bincount(where, weights=counts, minlength=len(contexts))
         kinds = np.bincount(where, minlength=len(contexts))
-        out["keys"].append(keys)
         out["discounted"].append(left / total[where])
         out["contexts"].append(contexts)
         out["gamma"].append(discount * kinds / total)
@@ -253,38 +264,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS) -> dict[str, list[str]]:
-    """Whole texts of up to ``per_language`` documents of each language that are not held out, by a hash of doc_id.
+def training_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS, language_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+    """Whole texts of up to ``per_language`` documents, and about ``language_bytes``, of each language that are not held out.
 
-    Every language found is learnt. A test of the hash, by each language's
-    count, leaves some four times the documents wanted; only their ids and
-    languages are ranked. The texts of the chosen ids are read in a second scan.
+    Every language found is learnt; a doc_id counts once, however many rows it has.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    every = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / (4 * per_language)))
-    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", every.alias("every")), "languages", small=True)
-    if counts.isEmpty():
-        return {}
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        known.select("doc_id", "lang")
-        .join(F.broadcast(counts), "lang")
-        .where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.col("every")) == 0)
-        .select("doc_id", "lang", F.row_number().over(order).alias("rank"))
-        .where(F.col("rank") <= per_language)
-    )
-    chosen = materialize(ids.select("doc_id").distinct(), "training-ids", small=True)
     texts: dict[str, list[str]] = {}
-    for row in sorted(keep_ids(known, chosen, "doc_id", "left_semi").select("doc_id", "lang", "text").collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"])):
+    for row in sorted(bounded_sample(known.select("lang", "doc_id", "text"), "lang", per_language, language_bytes).collect(), key=lambda r: (r["doc_id"], r["lang"])):
         texts.setdefault(row["lang"], []).append(row["text"])
     return texts
 
 
 def identify(documents: DataFrame, model: LanguageModel, columns: list[str]) -> DataFrame:
-    """``columns`` of the documents with lang_pred, score and rejected, in one pass over whole texts."""
+    """``columns`` of the documents with lang_pred, score and rejected, in one pass over whole texts.
+
+    The three take the place of asked-for columns of these names.
+    """
     spark = documents.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
+    asked = [c for c in columns if c.lower() not in ("lang_pred", "score", "rejected")]
 
     def run(batches):
         for batch in batches:
@@ -295,9 +295,9 @@ def identify(documents: DataFrame, model: LanguageModel, columns: list[str]) ->
                 names=[*batch.schema.names[1:], "lang_pred", "score", "rejected"],
             )
 
-    narrow = documents.select(F.col("text").cast("string").alias("_text"), *columns)
-    schema = ", ".join(f"`{c}` {t}" for c, t in narrow.dtypes[1:])
-    return narrow.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean" if schema else "lang_pred string, score double, rejected boolean")
+    narrow = documents.select(F.col("text").cast("string").alias(free_names(documents, "text")[0]), *asked)
+    schema = "".join(f"`{c}` {t}, " for c, t in narrow.dtypes[1:])
+    return narrow.mapInArrow(run, f"{schema}lang_pred string, score double, rejected boolean")
 
 
 def identify_documents(documents: DataFrame) -> DataFrame:
