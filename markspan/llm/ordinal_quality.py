@@ -12,11 +12,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markspan.llm.samples import bounded_sample
 from markspan.llm.tables import materialize, ship
 
 DIMS = 1 << 18
-#: Bound of the labelled sample that is fitted, by a hash of doc_id.
-SAMPLE_DOCUMENTS = 8_000
+#: Bound of the labelled sample that is fitted: documents, by a hash of doc_id, and bytes of their texts.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 8_000, 64 << 20
 EPOCHS = 15
 #: A feature counts if it is in so many of the fitted documents (fewer in a small sample).
 MIN_DOCUMENTS = 20
@@ -79,6 +80,16 @@ class OrdinalModel:
         return float(above.sum()), float(above[-1])
 
 
+def slopes(thresholds: np.ndarray, grade: int, score: float) -> tuple[float, list[tuple[int, float]]]:
+    """Derivatives of the log-likelihood of ``grade`` by the score, and by the thresholds next to it (index, derivative)."""
+    last = len(thresholds)
+    upper = _sigmoid(thresholds[grade] - score) if grade < last else 1.0
+    lower = _sigmoid(thresholds[grade - 1] - score) if grade else 0.0
+    span = max(upper - lower, 1e-9)
+    near = [(grade, upper * (1 - upper) / span), (grade - 1, -lower * (1 - lower) / span)]
+    return upper + lower - 1.0, [(k, slope) for k, slope in near if 0 <= k < last and slope]
+
+
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int = EPOCHS, rate: float = 0.5, ridge: float = 1e-3) -> OrdinalModel:
     """Adaptive gradient ascent of the likelihood, row by row in a fixed order, averaged over the later epochs; thresholds stay in order."""
     weights, squares, sums = np.zeros(DIMS), np.full(DIMS, 1e-3), np.zeros(DIMS)
@@ -91,16 +102,13 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int
         for at in rng.permutation(len(rows)):
             grade, where, value = rows[at]
             score = weights[where] @ value
-            upper = _sigmoid(thresholds[grade] - score) if grade < grades - 1 else 1.0
-            lower = _sigmoid(thresholds[grade - 1] - score) if grade else 0.0
-            step = (upper + lower - 1.0) * value - ridge * weights[where]
+            by_score, by_threshold = slopes(thresholds, grade, score)
+            step = by_score * value - ridge * weights[where]
             squares[where] += step * step
             weights[where] += rate * step / np.sqrt(squares[where])
-            span = max(upper - lower, 1e-9)
-            for k, slope in ((grade, upper * (1 - upper) / span), (grade - 1, -lower * (1 - lower) / span)):
-                if 0 <= k < grades - 1 and slope:
-                    pull[k] += slope * slope
-                    thresholds[k] += 0.2 * slope / np.sqrt(pull[k])
+            for k, slope in by_threshold:
+                pull[k] += slope * slope
+                thresholds[k] += 0.2 * slope / np.sqrt(pull[k])
             for k in range(1, grades - 1):
                 thresholds[k] = max(thresholds[k], thresholds[k - 1] + 1e-3)
         if epoch >= epochs // 3:
@@ -124,18 +132,19 @@ def rating(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 0).when(quality == 0, 1).when(quality == 1, 2)
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> OrdinalModel | None:
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, sample_bytes: int = SAMPLE_BYTES) -> OrdinalModel | None:
     """Fit on up to ``sample`` labelled documents; a fifth of them sets the least tail probability.
 
-    Labels that disagree count as the lower grade. A test of a hash leaves about
-    twice the sample to order. The chosen ids, bounded by ``sample``, are broadcast to the documents; hashed features, not texts, come
-    to the driver. None without two different grades.
+    Labels that disagree count as the lower grade. A test of a hash leaves some
+    four times the sample of labelled ids, which are broadcast to the documents;
+    a doc_id counts once, however many rows it has. Hashed features, not texts,
+    come to the driver, as bounded as the texts are. None without two different
+    grades.
     """
     graded = labels.where("doc_id IS NOT NULL").select("doc_id", rating(F.col("quality"), F.col("toxic")).alias("grade")).where("grade IS NOT NULL")
-    rated = materialize(graded.groupBy("doc_id").agg(F.min("grade").alias("grade")), "ratings", small=True)
-    every = max(1, rated.count() // (2 * sample))
-    some = rated.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(every)) == 0)
-    chosen = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rated = materialize(graded.groupBy("doc_id").agg(F.min("grade").alias("grade")), "ratings")
+    every = max(1, rated.count() // (4 * sample))
+    some = rated.where(F.pmod(F.xxhash64(F.lit("rated"), "doc_id"), F.lit(every)) == 0)
 
     def hashed(batches):
         for batch in batches:
@@ -146,7 +155,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENT
             )
 
     ship(documents.sparkSession)
-    joined = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
+    known = texts.join(F.broadcast(some), "doc_id").select(F.lit(0).alias("all"), F.col("doc_id"), "text")
+    joined = bounded_sample(known, "all", sample, sample_bytes).join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text")
     got = joined.mapInArrow(hashed, "doc_id long, grade int, places binary, weights binary").collect()
     rows = [(r["grade"], np.frombuffer(r["places"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in sorted(got, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["places"])))]
     if len({r[0] for r in rows}) < 2:
