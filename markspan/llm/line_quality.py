@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspan.llm.tables import materialize, with_row_id
+from markspan.llm.tables import BROADCAST_ROWS, discard, materialize, with_row_id
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -77,27 +77,38 @@ def document_statistics(documents: DataFrame, *more: str) -> DataFrame:
 
 
 def common_lines(stats: DataFrame, max_documents: int) -> DataFrame:
-    """(host, h, first): normalised lines in more than ``max_documents`` documents of a host, and the text that keeps them.
+    """(host, h, least_id, least_hash): normalised lines in more than ``max_documents`` documents of a host, with the smallest
+    doc_id and the smallest text hash of these.
 
-    Equal texts are one document, and a document counts once per line, however
-    often it has it. Both counts are summed before they are shuffled, so a line
-    of a third of all rows is no hot spot.
+    A document counts once per line, however often it has it. Counts are summed
+    before they are shuffled, so a line of a third of all rows is no hot spot.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
-    once = stats.select(_host().alias("host"), "text_hash", order.alias("o"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    by_text = once.groupBy("host", "h", "text_hash").agg(F.min("o").alias("o"))
-    counted = by_text.groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("o")["c"].alias("first"))
-    return materialize(counted.where(F.col("documents") > max_documents).select("host", "h", "first"), "common-lines", small=True)
+    once = stats.select(_host().alias("host"), "doc_id", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counted = once.groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("doc_id").alias("least_id"), F.min("text_hash").alias("least_hash"))
+    return materialize(counted.where(F.col("documents") > max_documents).drop("documents"), "common-lines", small=True)
 
 
 def _host() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
 
+def _sized(table: DataFrame) -> DataFrame:
+    """A written table for a join: broadcast up to BROADCAST_ROWS, which are counted."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+
+
 def _removals(stats: DataFrame, max_documents: int) -> DataFrame:
-    """(_rid, h, n): the lines to remove, one row per occurrence."""
-    flat = stats.select(_host().alias("host"), "_rid", "text_hash", F.inline("lines"))
-    return flat.join(common_lines(stats, max_documents), ["host", "h"]).where("text_hash <> first").select("_rid", "h", "n")
+    """(_rid, h, n): the lines to remove, one row per occurrence.
+
+    Only occurrences of common lines are looked at for the text that keeps them.
+    """
+    common = common_lines(stats, max_documents)
+    flat = stats.select(_host().alias("host"), "_rid", "doc_id", "text_hash", F.inline("lines"))
+    held = materialize(flat.join(_sized(common), ["host", "h"]), "common-held")
+    first = held.where(F.col("doc_id").eqNullSafe(F.col("least_id"))).groupBy("host", "h").agg(F.min("text_hash").alias("first"))
+    keeper = materialize(first, "line-keepers", small=True)
+    discard(common)
+    return held.join(_sized(keeper), ["host", "h"]).where("text_hash <> first").select("_rid", "h", "n")
 
 
 def _verdicts(stats: DataFrame, removed: DataFrame, min_words: int, min_share: float) -> DataFrame:
@@ -115,16 +126,19 @@ def _verdicts(stats: DataFrame, removed: DataFrame, min_words: int, min_share: f
 def line_frequency_verdicts(documents: DataFrame, max_documents: int = 10, min_words: int = 10, min_share: float = 0.25) -> DataFrame:
     """One row per document: base metrics, base_failed, words removed, and kept.
 
-    A normalised line that occurs in more than ``max_documents`` different
-    documents of a host (the ``source`` column) is removed from them all but the
-    first, the one with the smallest doc_id, so that no passage vanishes from
-    the host. A document left with under ``min_words`` words or under
-    ``min_share`` of its words is rejected, as is one that fails the base rules.
-
-    Equal texts of a host are one document and are judged alike: copies are left
-    to near-duplicate removal. Every row is judged, whatever its doc_id; null
-    hosts form one host; a null doc_id orders last. Null text has no words and fails. An empty table
-    gives an empty result; other columns are ignored.
+    A normalised line that occurs in more than ``max_documents`` documents of a
+    host (the ``source`` column) is removed from them all but the first, the one
+    with the smallest doc_id, so that no passage vanishes from the host. A
+    document left with under ``min_words`` words or under ``min_share`` of its
+    words is rejected, as is one that fails the base rules.
+
+    Each row counts as a document, copies too. A rule of its own protects copies:
+    rows whose text equals the first document's keep the line as well, so a group
+    of copies is judged alike and left to near-duplicate removal. Every row is
+    judged, whatever its doc_id; null hosts form one host; a null doc_id orders
+    last, and of equal doc_ids the smaller hash of the text comes first. Null text
+    has no words and fails. An empty table gives an empty result; other columns
+    are ignored.
     """
     stats = materialize(document_statistics(documents).withColumn("_rid", F.monotonically_increasing_id()), "line-stats")
     return _judged(stats, max_documents, min_words, min_share).drop("_rid")
@@ -156,6 +170,7 @@ def cleaned_documents(documents: DataFrame, max_documents: int = 10, min_words:
 
 
 def judge_documents(documents: DataFrame) -> DataFrame:
+    """The columns of ``line_frequency_verdicts`` that its query returns, one row per row; odd rows as there."""
     return line_frequency_verdicts(documents).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
     )

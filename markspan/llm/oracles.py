@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-from markspan.llm.url_filter import LOWER, RULES, UPPER
+from markspan.llm.url_filter import LOWER, RULES, TIE, UPPER
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
 
-def _rank_steps(name: str, seed: str, edges: str, rounds: int = 10, damping: float = 0.85) -> str:
-    """CTEs of the unrolled steps of a personalised PageRank; the last is ``name``."""
-    steps = [
-        f"{name}_seed AS (SELECT host, {seed} / sum({seed}) OVER () AS s FROM hosts WHERE {seed} > 0)",
-        f"{name}_share AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS part FROM {edges})",
-        f"{name}_0 AS (SELECT host, {1 - damping} * s AS score FROM {name}_seed)",
-    ]
-    for k in range(rounds):
-        steps.append(
-            f"{name}_{k + 1} AS (SELECT host, sum(score) AS score FROM (SELECT dst AS host, {damping} * score * part AS score FROM {name}_share JOIN {name}_{k} ON src = host "
-            f"UNION ALL SELECT host, {1 - damping} * s FROM {name}_seed) GROUP BY host)"
-        )
-    steps.append(f"{name} AS (SELECT * FROM {name}_{rounds})")
-    return ",\n".join(steps)
+def _ranks(name: str, seed: str, edges: str, steps: int = 400, damping: float = 0.85) -> str:
+    """CTEs of a personalised PageRank as the sum of the masses after 0, 1, 2, ... links; 0.85^400 is below 1e-28."""
+    return f"""{name}_share AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS part FROM {edges}),
+{name}_mass(k, host, mass) AS (
+  SELECT 0, host, {1 - damping} * {seed} / sum({seed}) OVER () FROM hosts WHERE {seed} > 0
+  UNION ALL
+  SELECT k + 1, dst, sum({damping} * mass * part) FROM {name}_mass JOIN {name}_share ON src = host WHERE k < {steps} GROUP BY k, dst
+),
+{name} AS (SELECT host, sum(mass) AS score FROM {name}_mass GROUP BY host)"""
 
 
 _REST = "CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3) ELSE '' END"
@@ -28,7 +23,7 @@ _HOST = f"coalesce(translate(regexp_extract({_REST}, '^([^/?#]*)', 1), '{UPPER}'
 _PATH = f"coalesce(regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1), '')"
 
 OP2 = f"""
-WITH rules(rule_verdict, domain, prefix) AS (VALUES {_RULE_ROWS}),
+WITH RECURSIVE rules(rule_verdict, domain, prefix) AS (VALUES {_RULE_ROWS}),
 p AS (SELECT row_number() OVER () AS rid, page_id, html, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path FROM pages),
 fits AS (
   SELECT rid, domain || prefix AS rule, rule_verdict,
@@ -48,9 +43,9 @@ links AS (
 linked AS (SELECT src, {_HOST.format(u="(CASE WHEN starts_with(url, '//') THEN 'http:' || url ELSE url END)")} AS dst FROM links),
 edges AS (SELECT src, dst, count(*)::DOUBLE AS w FROM linked WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
 back AS (SELECT dst AS src, src AS dst, w FROM edges),
-{_rank_steps("trust", "good", "edges")},
-{_rank_steps("distrust", "bad", "back")},
-blocked AS (SELECT d.host FROM distrust d LEFT JOIN trust t ON d.host = t.host WHERE d.score > coalesce(t.score, 0) + 1e-12)
+{_ranks("trust", "good", "edges")},
+{_ranks("distrust", "bad", "back")},
+blocked AS (SELECT d.host FROM distrust d LEFT JOIN trust t ON d.host = t.host WHERE d.score > coalesce(t.score, 0) + {TIE} * greatest(d.score, coalesce(t.score, 0)))
 SELECT page_id, judged.host, path, rule, coalesce(rule_verdict, CASE WHEN blocked.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM judged LEFT JOIN blocked ON judged.host = blocked.host
 """
@@ -86,7 +81,7 @@ lines AS (
 ),
 common AS (
   SELECT host, line, arg_min(text, {{'a': doc_id IS NULL, 'b': doc_id, 'c': text}}) AS first
-  FROM lines GROUP BY host, line HAVING count(DISTINCT text) > 10
+  FROM lines GROUP BY host, line HAVING count(DISTINCT rid) > 10
 ),
 removed AS (SELECT rid, sum(n)::BIGINT AS r FROM lines JOIN common USING (host, line) WHERE text <> first GROUP BY rid),
 judged AS (

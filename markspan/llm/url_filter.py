@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspan.llm.tables import materialize
+from markspan.llm.tables import discard, materialize
 
 #: Verdict, host, path of each rule.
 RULES = (
@@ -66,17 +66,20 @@ def trust_and_distrust(edges: DataFrame, seeds: DataFrame, damping: float, max_r
     ``max_rounds`` raise.
 
     Masses are written every round, which cuts lineage; a hub's many in-links
-    are summed before the shuffle and its many out-links split by adaptive execution.
+    are summed before the shuffle. Its many out-links meet tables that are
+    written first, so both inputs of the joins come through an exchange and
+    adaptive execution can split the hub's partition.
     """
     total = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     start = {c: (1 - damping) * F.col(c) / total[c] if total[c] else F.lit(0.0) for c in ("good", "bad")}
     first = seeds.where("good > 0 OR bad > 0").select("host", start["good"].alias("trust"), start["bad"].alias("distrust"))
-    state = materialize(first.select("*", F.col("trust").alias("trust_step"), F.col("distrust").alias("distrust_step")), "ranks", small=True)
+    state = materialize(first.select("*", F.col("trust").alias("trust_step"), F.col("distrust").alias("distrust_step")), "ranks")
     if not total["bad"] or edges.isEmpty():
         return state
     links = edges.select(F.lit(False).alias("back"), "src", "dst", "weight").union(edges.select(F.lit(True), "dst", "src", "weight"))
-    out = links.groupBy("back", "src").agg(F.sum("weight").alias("out"))
-    share = materialize(links.join(out, ["back", "src"]).select("back", "src", "dst", (F.col("weight") / F.col("out")).alias("part")), "shares")
+    out = materialize(links.groupBy("back", "src").agg(F.sum("weight").alias("out")), "out-weights")
+    share = materialize(links.join(out.hint("merge"), ["back", "src"]).select("back", "src", "dst", (F.col("weight") / F.col("out")).alias("part")), "shares")
+    discard(out)
     hosts = state.count()
     for _ in range(max_rounds):
         steps = F.array(F.struct(F.lit(False).alias("back"), F.col("trust_step").alias("step")), F.struct(F.lit(True).alias("back"), F.col("distrust_step").alias("step")))
@@ -87,9 +90,11 @@ def trust_and_distrust(edges: DataFrame, seeds: DataFrame, damping: float, max_r
         )
         held = state.select("host", "trust", "distrust", F.lit(0.0).alias("trust_step"), F.lit(0.0).alias("distrust_step"))
         both = held.union(moved.select("host", F.col("trust_step").alias("trust"), F.col("distrust_step").alias("distrust"), "trust_step", "distrust_step"))
-        state = materialize(both.groupBy("host").agg(*(F.sum(c).alias(c) for c in both.columns[1:])), "ranks", small=True)
+        before, state = state, materialize(both.groupBy("host").agg(*(F.sum(c).alias(c) for c in both.columns[1:])), "ranks")
+        discard(before)
         now = state.agg(F.count("*").alias("hosts"), F.sum(F.col("trust_step") + F.col("distrust_step")).alias("moved")).first()
         if _settled(state, now["moved"] * damping / (1 - damping), now["hosts"] > hosts):
+            discard(share)
             return state
         hosts = now["hosts"]
     raise RuntimeError(f"trust is not settled after {max_rounds} rounds")

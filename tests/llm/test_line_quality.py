@@ -36,9 +36,9 @@ def lines_of(text):
 
 def brute(rows, limit):
     carriers, first = defaultdict(set), {}
-    for i, text, _, source, _ in rows:
+    for row, (i, text, _, source, _) in enumerate(rows):
         for line, _ in lines_of(text):
-            carriers[source, line].add(text)
+            carriers[source, line].add(row)
             first[source, line] = min(first.get((source, line), (True, 10**9, "")), (i is None, i or 0, text))
     out = []
     for i, text, _, source, _ in rows:
@@ -73,7 +73,30 @@ def test_depleted_documents_go_and_the_first_stays(spark):
     got = {r[0]: r for r in judged(spark, rows, 10)}
     assert [i for i in range(100) if i in got and got[i][7]] == [0, 50, 51, 52]
     assert all(got[100 + i][7] and got[100 + i][8] == 48 for i in range(5))
-    assert all(got[200 + i][7] and got[200 + i][8] == 0 for i in range(40)), "copies of one text are one document"
+    assert all(got[200 + i][7] and got[200 + i][8] == 0 for i in range(40)), "copies of the first text keep its lines"
+
+
+def test_copies_count_as_documents(spark):
+    """Eleven rows in three texts: the line goes from all but the first text's rows."""
+    import random
+
+    rng = random.Random(4)
+    line, texts = sentence(rng, "en", 9), [sentence(rng, "en", 30) for _ in range(3)]
+    rows = [(i, f"{line}\n{texts[0 if i in (3, 9) else 1 + i % 2]}", "en", "site", 1) for i in range(11)]
+    rows += [(i, f"{line}\n{texts[i % 3]}", "en", "small", 1) for i in range(20, 30)]
+    got = judged(spark, rows, 10)
+    assert sorted(got) == sorted(brute(rows, 10))
+    assert {r[0] for r in got if r[8]} == {1, 5, 7} | {3, 9} and all(r[7] for r in got)
+
+
+def test_equal_and_missing_ids_have_one_first_text(spark):
+    import random
+
+    rng = random.Random(5)
+    line, texts = sentence(rng, "en", 9), [sentence(rng, "en", 30) for _ in range(4)]
+    rows = [(None, f"{line}\n{t}", "en", None, 1) for t in texts for _ in range(4)] + [(7, f"{line}\n{t}", "en", "s", 1) for t in texts for _ in range(3)]
+    got = judged(spark, rows, 10)
+    assert Counter((r[0], r[8]) for r in got) == {(None, 0): 4, (None, 9): 12, (7, 0): 3, (7, 9): 9}
 
 
 def test_repeated_windows(spark):

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from markspan.llm import url_filter
+from markspan.llm.oracles import OP2
 
 RULES = url_filter.RULES
 A = '<a href="{}">x</a>'
@@ -128,6 +129,32 @@ def test_chain_longer_than_ten_links_equals_converged_ranks(spark):
     assert {v for i, *_, v in want if i < 3} == {"block"} != {v for i, *_, v in sorted(brute(rows)) if i < 3}
 
 
+def sql_rows(rows):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    return sorted(con.sql(OP2).fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("rows", [PAGES, chain(40)], ids=["linked", "chain"])
+def test_equals_its_sql_on_links(spark, rows):
+    got = sorted((tuple(r) for r in url_filter.filter_urls(run(spark, rows)).collect()), key=repr)
+    assert got == sql_rows(rows)
+    if len(rows) > 40:
+        assert [v for i, *_, v in sorted(got) if i < 20] == ["block"] * 20, "distrust reaches hosts forty links away"
+
+
+def test_hub_with_many_unequal_links(spark):
+    """A third of all links leave one host; each link's share follows its weight."""
+    rows = [(0, "http://hub.org/fr/", "".join(A.format(f"http://h{i}.edu/") * (1 + i % 5) for i in range(300)))]
+    rows += [(i + 1, f"http://h{i}.edu/", A.format("http://spam.net/") if i % 3 == 0 else A.format(f"http://h{i - 1}.edu/")) for i in range(300)]
+    rows += [(400 + i, "http://spam.net/", "") for i in range(1 + 300 % 7)] + [(900, "http://hub.org/fr/2", "")]
+    got = sorted((tuple(r) for r in url_filter.filter_urls(run(spark, rows)).collect()), key=repr)
+    assert got == sorted(brute(rows, rounds=400), key=repr) == sql_rows(rows) and {r[4] for r in got} == {"allow", "block"}
+
+
 def test_unsettled_ranks_raise(spark):
     with pytest.raises(RuntimeError, match="3 rounds"):
         url_filter.filter_urls(run(spark, chain(16)), max_rounds=3)
