@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markspan.llm.tables import ship, utf8_size, with_row_id
+from markspan.llm.tables import free_names, ship, utf8_size, with_row_id
 
 BLOCK_ROWS = 65_536
-MAX_BLOCKS = 4_096
 _NUMPY_LIMIT = 900_000_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Number of good items among ``draws`` without replacement; exact beyond numpy's limit as well."""
+    """Number of good items among ``draws`` without replacement.
+
+    Beyond numpy's limit by the inverse of the distribution function, summed in
+    double precision over 14 standard deviations either way; what lies outside
+    is below 1e-40, far under the step of a double-precision uniform number.
+    """
     if good + bad <= _NUMPY_LIMIT:
         return int(rng.hypergeometric(good, bad, draws)) if draws else 0
     low, high = max(0, draws - bad), min(draws, good)
@@ -59,13 +63,12 @@ def matrix_row(sizes: np.ndarray, targets: np.ndarray, part: int, seed: int) ->
     return left
 
 
-def shard_targets(rows: int, n_shards: int, block_rows: int, max_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shard_targets(rows: int, n_shards: int, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard, first slot, size) of each block; shard sizes differ by one at most."""
     per = [rows // n_shards + (s < rows % n_shards) for s in range(n_shards)]
-    most = max(1, max_blocks // n_shards)
     shard, first, size = [], [], []
     for s, n in enumerate(per):
-        k = min(most, max(1, -(-n // block_rows)))
+        k = max(1, -(-n // block_rows))
         cut = [n * i // k for i in range(k + 1)]
         for a, b in zip(cut, cut[1:], strict=False):
             shard.append(s)
@@ -74,7 +77,7 @@ def shard_targets(rows: int, n_shards: int, block_rows: int, max_blocks: int) ->
     return np.array(shard), np.array(first, dtype=np.int64), np.array(size, dtype=np.int64)
 
 
-def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 7, block_rows: int = BLOCK_ROWS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``shard`` (0 to n_shards-1) and ``slot`` (gapless from 0 in its shard): a uniform random permutation.
 
     1. The rows are written once with their partition and index, so retries see the same rows.
@@ -85,27 +88,30 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 7, block_rows:
     3. Each partition permutes its labels locally, each row is sent to its block,
        and a block permutes its rows again by random keys.
 
-    The number of partitions and of blocks (``max_blocks`` at most) is all that
-    the driver holds. Nulls, long texts and extra columns pass through; repeated
-    rows are rows of their own; an empty table gives an empty result. Columns of
-    the input named ``shard`` or ``slot`` are replaced.
+    The sizes of partitions and of blocks (24 bytes for every ``block_rows``
+    rows) are all that the driver holds. Nulls, long texts and extra columns of
+    any name pass through; repeated rows are rows of their own; an empty table
+    gives an empty result. Columns of the input named ``shard`` or ``slot`` are
+    replaced.
     """
     spark = df.sparkSession
     ship(spark)
-    table = with_row_id(df.drop("shard", "slot"), "shard-rows")
-    counts = dict(table.groupBy(F.shiftrightunsigned("_rid", 33).cast("int").alias("p")).count().collect())
+    own = df.drop("shard", "slot")
+    rid, start, chunk, order, place = free_names(own, "_rid", "_first", "_block", "_key", "_place")
+    table = with_row_id(own, "shard-rows", rid)
+    counts = dict(table.groupBy(F.shiftrightunsigned(rid, 33).cast("int").alias("p")).count().collect())
     parts = np.array(sorted(counts), dtype=np.int64)
     sizes = np.array([counts[p] for p in parts.tolist()], dtype=np.int64)
-    shard, first, target = shard_targets(int(sizes.sum()), n_shards, block_rows, max_blocks)
+    shard, first, target = shard_targets(int(sizes.sum()), n_shards, block_rows)
     plan = spark.sparkContext.broadcast((parts, sizes, shard, first, target))
 
     def deal(batches):
         parts, sizes, shard, first, target = plan.value
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            rid = batch.column(batch.schema.get_field_index("_rid")).to_numpy(zero_copy_only=False)
-            part, index = rid >> 33, rid & ((1 << 33) - 1)
-            block, key = np.empty(len(rid), np.int64), np.empty(len(rid), np.int64)
+            rows = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            part, index = rows >> 33, rows & ((1 << 33) - 1)
+            block, key = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
             for p in np.unique(part).tolist():
                 if p not in known:
                     at = int(np.searchsorted(parts, p))
@@ -117,17 +123,21 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 7, block_rows:
                 block[here], key[here] = (x[index[here]] for x in known[p])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(shard[block].astype(np.int32)), pa.array(first[block]), pa.array(block.astype(np.int32)), pa.array(key)],
-                names=[*batch.schema.names, "shard", "_first", "_block", "_key"],
+                names=[*batch.schema.names, "shard", start, chunk, order],
             )
 
-    fields = [T.StructField("shard", T.IntegerType()), T.StructField("_first", T.LongType()), T.StructField("_block", T.IntegerType()), T.StructField("_key", T.LongType())]
+    fields = [T.StructField("shard", T.IntegerType()), T.StructField(start, T.LongType()), T.StructField(chunk, T.IntegerType()), T.StructField(order, T.LongType())]
     dealt = table.mapInArrow(deal, T.StructType([*table.schema.fields, *fields]))
-    place = F.row_number().over(Window.partitionBy("_block").orderBy("_key", "_rid"))
-    return dealt.withColumn("slot", F.col("_first") + place - 1).drop("_first", "_block", "_key", "_rid")
+    placed = dealt.withColumn(place, F.row_number().over(Window.partitionBy(chunk).orderBy(order, rid)))
+    return placed.withColumn("slot", F.col(start) + F.col(place) - 1).drop(start, chunk, order, rid, place)
 
 
 def shard_documents(documents: DataFrame, n_shards: int = 24) -> DataFrame:
-    """The digest of the sharded documents: law ``rows`` (shard sizes at most one apart)."""
+    """The digest of the sharded documents: law ``rows`` (shard sizes at most one apart).
+
+    Null text has size 8 and the checksum of an empty one; other columns are
+    ignored, odd rows are dealt as ``shuffle_into_shards`` says.
+    """
     digest = documents.select("doc_id", (utf8_size(F.col("text")) + 8).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     return shuffle_into_shards(digest, n_shards).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

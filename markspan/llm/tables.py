@@ -77,9 +77,9 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def with_row_id(df: DataFrame, tag: str) -> DataFrame:
-    """A written table with ``_rid``: partition number << 33 plus the row's index in it, fixed by the write."""
-    return materialize(df.withColumn("_rid", F.monotonically_increasing_id()), tag)
+def with_row_id(df: DataFrame, tag: str, name: str = "_rid") -> DataFrame:
+    """A written table with a row id: partition number << 33 plus the row's index in it, fixed by the write."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), tag)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,13 +30,21 @@ def test_empty_and_fewer_rows_than_shards(spark):
 
 def test_rows_pass_whole_through_several_blocks(spark):
     df = spark.range(1000).selectExpr("id", "cast(id as string) as name", "1 as shard", "2 as slot")
-    got = sharding.shuffle_into_shards(df, 3, block_rows=50, max_blocks=30).collect()
+    got = sharding.shuffle_into_shards(df, 3, block_rows=50).collect()
     assert sorted((r.id, r.name) for r in got) == sorted((i, str(i)) for i in range(1000))
     for s in range(3):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots))) and len(slots) in (333, 334)
 
 
+def test_columns_of_any_name_pass_through(spark):
+    df = spark.range(40).selectExpr("id", "id + 1 as _rid", "id + 2 as _Block", "id + 3 as _key", "id + 4 as _first", "-1 as slot", "array(id) as _place")
+    got = sharding.shuffle_into_shards(df, 3, block_rows=5)
+    assert got.columns == ["id", "_rid", "_Block", "_key", "_first", "_place", "shard", "slot"]
+    assert sorted(tuple(r)[:6] for r in got.collect()) == [(i, i + 1, i + 2, i + 3, i + 4, [i]) for i in range(40)]
+    assert sorted((r.shard, r.slot) for r in got.collect()) == [(s, k) for s in range(3) for k in range(13 + (s < 1))]
+
+
 def test_shuffle_is_uniform(spark):
     """Over seeds each row is in each of 3 shards and 2 slots about as often: chi-square of 6 cells."""
     df = spark.range(6).coalesce(2)
