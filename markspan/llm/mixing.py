@@ -6,14 +6,18 @@ from itertools import groupby
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markspan.llm.tables import materialize, ship
+from markspan.llm.tables import BROADCAST_ROWS, discard, free_names, materialize, ship, with_row_id
 
 WEIGHTS = (3.0, 1.0, 2.0)
 CHUNK_ROWS = 20_000
 FAN_IN = 64
+#: Chunks of a level are dealt to so many partitions at most.
+PARTITIONS = 1 << 15
+#: A row that is repeated more often is dealt out in parts.
+REPEATS = 10_000
 MAX_SOURCES = 1_000_000
 _EPS = 1e-9
 
@@ -75,41 +79,76 @@ def pivot(items, seed: int, last: bool):
 
 
 def mix(rows: DataFrame, seed: int = 11, weights=WEIGHTS, volume: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Copies of each row of (doc_id, source, size): adds source_size, target, p and ``copies``.
+    """Copies of each row of (doc_id, source, size): adds source_size, target and ``copies``.
 
     A source's target over its size is the expected number of copies of each of
     its rows; the whole part is certain and the fraction is rounded dependently.
-    Rows are dealt into chunks by a hash of what they hold; a chunk settles all
-    but one row per source, and the rests of 64 chunks meet in the next level
-    until one rest per source is left, rounded to the nearest. Larger rows come
-    first, so that the rests that travel are small. Random numbers hash
-    the rows' contents, so reruns agree at any partitioning. The fraction of a
-    row of size 0 is rounded to the nearest.
+    Equal rows are one item: of n of them the whole part of n fractions get one
+    copy more for certain, and one fraction is left. Items are dealt into chunks
+    by a hash of what they hold; a chunk settles all but one item per source, and
+    the rests of FAN_IN chunks meet in the next level until one rest per source
+    is left, rounded to the nearest. Larger items come first, so that the rests
+    that travel are small; chunks and sources are dealt to tasks together. Random
+    numbers hash the rows' contents, so reruns agree at any partitioning. The
+    fraction of rows of size 0 is rounded to the nearest. Null ids and sources
+    are values like others; an empty table gives an empty result.
     """
-    ship(rows.sparkSession)
-    table = materialize(rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("size").cast("long")), "mix-sizes")
-    by_source = table.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    plain = rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("size").cast("long"), F.lit(0).cast("long").alias("tie"), F.lit(0).cast("long").alias("variant"), F.lit(0).cast("long").alias("rid"))
+    return _each(_totals(plain, seed, weights, volume, most))
+
+
+def _each(totals: DataFrame) -> DataFrame:
+    """A row for each row that the items stand for."""
+    copies = (F.col("whole") + (F.col("nth") < F.col("more")).cast("long")).alias("copies")
+    return repeated(totals, "n", "nth").select("doc_id", "source", "size", "source_size", "target", copies)
+
+
+def repeated(frame: DataFrame, times: str, nth: str) -> DataFrame:
+    """Each row of ``frame`` (a written table, or narrow) ``times`` times, numbered from 0; no task makes more than REPEATS of one row
+    before they are dealt out."""
+    n = F.col(times)
+    run = lambda lo, hi: F.explode(F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>")))
+    zero = F.lit(0).cast("long")
+    few = frame.where(n <= REPEATS).withColumn(nth, run(zero, n))
+    many = frame.where(n > REPEATS)
+    if many.isEmpty():
+        return few
+    (part,) = free_names(few, "part")
+    parts = many.withColumn(part, run(zero, F.ceil(n / REPEATS))).repartition(F.col(part), n)
+    return few.union(parts.withColumn(nth, run(F.col(part) * REPEATS, F.least(n, (F.col(part) + 1) * REPEATS))).drop(part))
+
+
+def _totals(rows: DataFrame, seed: int, weights, volume: float, most: float) -> DataFrame:
+    """One row per different row (doc_id, source, size, tie, variant): how many there are (n), the first row id, the copies that
+    each has (whole) and how many of them have one more (more)."""
+    spark = rows.sparkSession
+    ship(spark)
+    items = rows.groupBy("doc_id", "source", "size", "tie", "variant").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
+    table = materialize(items, "mix-items")
+    by_source = table.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("items"))
     if by_source.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources: they are mixture components, one row each on the driver")
     found = sorted(by_source.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
     sizes = [float(r["source_size"]) for r in found]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(found))], volume * sum(sizes), most)
-    total = sum(r["n"] for r in found)
-    spark = rows.sparkSession
+    total = sum(r["items"] for r in found)
     goals = spark.createDataFrame(
         [(r["source"], int(r["source_size"]), t, t / s if s else 0.0) for r, s, t in zip(found, sizes, targets, strict=True)],
         "source string, source_size long, target double, factor double",
     )
     chunks = max(1, -(-total // CHUNK_ROWS))
     g = goals.withColumnRenamed("source", "s")
+    extra = F.col("n") * (F.col("factor") - F.col("whole"))
+    sure = F.floor(extra + _EPS)
     frame = (
         table.join(g, table["source"].eqNullSafe(g["s"]), "left")
-        .drop("s")
         .withColumn("whole", F.floor("factor").cast("long"))
-        .withColumn("p", F.col("factor") - F.floor("factor"))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)).cast("long"))
-        .drop("factor")
-    )
+        .withColumn("draw", F.xxhash64("doc_id", "size", "tie"))
+        .select(
+            "doc_id", "source", "size", "n", "first", "source_size", "target", "whole", sure.cast("long").alias("sure"),
+            F.greatest(extra - sure, F.lit(0.0)).alias("p"), F.pmod("draw", F.lit(chunks)).cast("long").alias("chunk"), "draw", "variant",
+        )
+    )
     done = []
     while True:
         last = chunks == 1
@@ -119,14 +158,21 @@ def mix(rows: DataFrame, seed: int = 11, weights=WEIGHTS, volume: float = 1.5, m
             break
         chunks = -(-chunks // FAN_IN)
         frame = frame.where("NOT settled").withColumn("chunk", F.floor(F.col("chunk") / FAN_IN).cast("long")).drop("settled")
+    discard(table)
     out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    for level in done[1:]:
+        out = out.union(level)
+    return out.select("doc_id", "source", "size", "n", "first", "source_size", "target", "whole", (F.col("sure") + F.col("p").cast("long")).alias("more"))
+
+
+_ROW = "doc_id long, source string, size long, n long, first long, source_size long, target double, whole long, sure long, p double, chunk long, draw long, variant long, settled boolean"
+_NAMES = [part.split()[0] for part in _ROW.split(", ")]
+_SOURCE, _SIZE, _P, _AT, _DRAW = (_NAMES.index(n) for n in ("source", "size", "p", "chunk", "draw"))
+_ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for n, t in map(str.split, _ROW.split(", "))])
 
 
 def _level(frame: DataFrame, chunks: int, seed: int, last: bool) -> DataFrame:
-    """One level of the reduction tree: rows of a chunk and source are paired in order of size, streaming."""
+    """One level of the reduction tree: items of a chunk and source are paired in order of size, streaming."""
 
     def run(batches):
         carry: list = []  # the open row of the group at hand, one at most
@@ -134,30 +180,26 @@ def _level(frame: DataFrame, chunks: int, seed: int, last: bool) -> DataFrame:
         for batch in batches:
             out = []
             rows = zip(*(column.to_pylist() for column in batch.columns), strict=True)
-            for group, own in groupby(rows, key=lambda r: (r[7], r[1])):
+            for group, own in groupby(rows, key=lambda r: (r[_AT], r[_SOURCE])):
                 if at is not None and at != group:
                     out += _settle(carry, seed, last)
                     carry = []
                 at = group
                 settled = _settle([*carry, *own], seed, False)
-                carry = [r[:8] for r in settled if not r[8]]
-                out += [r for r in settled if r[8]]
+                carry = [r[:-1] for r in settled if not r[-1]]
+                out += [r for r in settled if r[-1]]
             yield _batch(out)
         yield _batch(_settle(carry, seed, last))
 
-    order = ["chunk", "source", F.desc("size"), "doc_id", "p"]
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "p", "chunk"]
-    dealt = frame.select(*columns).repartition(min(chunks, 4096) if chunks > 1 else 1, "chunk").sortWithinPartitions(*order)
+    order = ["chunk", "source", F.desc("size"), "doc_id", "draw", "variant"]
+    tasks = min(PARTITIONS, max(chunks, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = frame.select(*_NAMES[:-1]).repartition(tasks, "chunk", "source").sortWithinPartitions(*order)
     return dealt.mapInArrow(run, _ROW)
 
 
-_ROW = "doc_id long, source string, size long, source_size long, target double, whole long, p double, chunk long, settled boolean"
-_ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for n, t in map(str.split, _ROW.split(", "))])
-
-
 def _settle(rows: list, seed: int, last: bool) -> list:
-    items = ((i, (r[0], r[2], r[7]), r[2], r[6]) for i, r in enumerate(rows))
-    return [(*rows[i][:6], p, rows[i][7], done) for i, p, done in pivot(items, seed, last)]
+    items = ((i, (r[_DRAW], r[_AT]), r[_SIZE], r[_P]) for i, r in enumerate(rows))
+    return [(*rows[i][:_P], p, *rows[i][_P + 1 :], done) for i, p, done in pivot(items, seed, last)]
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -169,28 +211,38 @@ def word_count(text):
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
+def _items(documents: DataFrame, *more) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), *more)
+
+
 def mix_documents(documents: DataFrame, seed: int = 11) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document; null text has size 0, null source orders last."""
-    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix(sized, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """(doc_id, size, source_size, target, taken) of every document; null text has size 0, null source orders last.
+
+    Rows with equal doc_id, source and text are equal here: which of them is
+    taken more often does not show. Other columns are ignored.
+    """
+    zero = F.lit(0).cast("long")
+    rows = _each(_totals(_items(documents, zero.alias("variant"), zero.alias("rid")), seed, WEIGHTS, 1.5, 2.0))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_rows(documents: DataFrame, seed: int = 11) -> DataFrame:
-    """The documents with each row repeated as often as the mix takes it; all input columns."""
-    counted = documents.withColumn("_size", word_count(F.col("text")))
-    copies = mix(counted.select("doc_id", "source", F.col("_size").alias("size")), seed)
-    by_id = materialize(copies.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")).where("_copies > 0"), "mix-copies")
-    key = counted["doc_id"].eqNullSafe(by_id["doc_id"]) & counted["source"].eqNullSafe(by_id["source"]) & (counted["_size"] == by_id["size"])
-
-    def taken(ids: DataFrame) -> DataFrame:
-        return counted.join(ids.hint("merge"), key).select(*(counted[c] for c in documents.columns), "_size", "_copies", "_n")
-
-    def repeated(frame: DataFrame, times: str) -> DataFrame:
-        return frame.withColumn("_copy", F.explode(F.expr(f"array_repeat(1, int({times}))"))).select(*documents.columns)
-
-    out = repeated(taken(by_id), "_copies div _n")
-    uneven = by_id.where("_copies % _n > 0")
-    if not uneven.isEmpty():  # repeated keys with different numbers of copies: as many of their rows as are left over get one more
-        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text")))
-        out = out.union(taken(uneven).withColumn("_nth", nth).where("_nth <= _copies % _n").select(*documents.columns))
-    return out
+    """The documents with each row repeated as often as the mix takes it; all input columns, whatever their names.
+
+    Rows are written once with row ids, and copies are joined by these: a
+    broadcast up to BROADCAST_ROWS rows, beyond that a sort-merge join. Of rows
+    that are equal in all columns the first stands for all, so a group of copies
+    is no hot key and reruns agree on the rows. (Columns that hold maps do not
+    tell rows apart.)
+    """
+    rid, times, nth = free_names(documents, "_rid", "_times", "_nth")
+    table = with_row_id(documents, "mix-rows", rid)
+    told = [F.col(f"`{c}`") for c, kind in documents.dtypes if "map<" not in kind]
+    totals = _totals(_items(table, F.xxhash64(*told).alias("variant"), F.col(rid).alias("rid")), seed, WEIGHTS, 1.5, 2.0)
+    copies = materialize(totals.select(F.col("first").alias(rid), (F.col("n") * F.col("whole") + F.col("more")).alias(times)).where(F.col(times) > 0), "mix-copies")
+    few = copies.count() <= BROADCAST_ROWS
+    many = materialize(copies.where(F.col(times) > REPEATS), "mix-many")
+    taken = lambda ids: table.join(F.broadcast(ids) if few else ids.hint("merge"), rid)
+    once = taken(copies.where(F.col(times) <= REPEATS)).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    out = once.drop(rid, times, nth)
+    return out if many.isEmpty() else out.union(repeated(taken(many), times, nth).drop(rid, times, nth))

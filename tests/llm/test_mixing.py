@@ -84,6 +84,48 @@ def test_mixed_rows_repeat_whole_rows(spark):
     assert mixing.mixed_rows(df).columns == df.columns
 
 
+def test_rows_equal_in_part_or_whole(spark, monkeypatch):
+    """Equal ids with different texts or columns, and a third of all rows equal: each row has at most one copy more than another of its source."""
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = [(1, f"text {chr(97 + i)} of six words here", "en", "a", i) for i in range(9)] + [(None, "the same null row", "en", "a", 3)] * 20 + [(2, "one", "en", "b", 1), (2, "one", "fr", "b", 1), (3, None, "en", None, None)] * 5
+    rows += [(4, "size five words in all", "en", "c", 1)] * 31
+    df = frame(spark, rows)
+    own = df.withColumns({c: F.lit(i) for i, c in enumerate(("_size", "_copies", "_n", "_copy", "_rid", "_times", "_nth", "_part", "n", "first", "more", "size", "tie"))})
+    got = mixing.mixed_rows(own)
+    assert got.columns == own.columns and {tuple(r)[5:] for r in got.collect()} == {tuple(range(13))}
+    taken, there = Counter(tuple(r)[:5] for r in got.collect()), Counter(rows)
+    want, size = targets(rows)
+    for row, n in there.items():
+        if size[row[3]]:
+            low = int(want[row[3]] / size[row[3]])
+            assert low * n <= taken[row] <= (low + 1) * n
+    for source in "abc":
+        words_taken = sum(words(r[1]) * n for r, n in taken.items() if r[3] == source)
+        assert abs(words_taken - want[source]) <= 6
+    again = Counter(tuple(r)[:5] for r in mixing.mixed_rows(own.repartition(7)).collect())
+    assert again == taken
+    digest = Counter((r.doc_id, r["size"]) for r in mixing.mix_documents(df).collect())
+    assert digest == Counter((r[0], words(r[1])) for r in rows)
+
+
+def brute_water_fill(sizes, weights, total, most):
+    """Targets by bisection on the level: each is the smaller of weight * level and its cap."""
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(w * level, most * s) for s, w in zip(sizes, weights)) < total else (lo, level)
+    return [min(w * lo, most * s) for s, w in zip(sizes, weights)]
+
+
+def test_water_fill_equals_bisection():
+    rng = random.Random(3)
+    for _ in range(100):
+        sizes = [rng.choice([0, rng.randint(1, 10), rng.randint(1, 10_000)]) for _ in range(rng.randint(1, 12))]
+        weights = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
+        if sum(sizes):
+            assert mixing.water_fill(sizes, weights, 1.5 * sum(sizes), 2.0) == pytest.approx(brute_water_fill(sizes, weights, 1.5 * sum(sizes), 2.0), abs=1e-3)
+
+
 def test_empty(spark):
     df = frame(spark, documents(5)).limit(0)
     assert mixing.mix_documents(df).count() == 0 and mixing.mixed_rows(df).count() == 0
