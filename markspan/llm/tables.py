@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ BROADCAST_ROWS = 500_000
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWN_DIR: list[str] = []
+_SCOPES: list[list[DataFrame]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -62,9 +65,23 @@ def materialize(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    for made in _SCOPES:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch_scope() -> Iterator[list[DataFrame]]:
+    """Delete at the end all tables that are written within, but for those taken off the list."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        discard(*made)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` returned and that nothing reads any more."""
     for table in tables:

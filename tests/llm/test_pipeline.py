@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from markspan.llm import language_id, mixing
-from tests.llm.helpers import SCHEMA, documents, sentence
+from tests.llm.helpers import SCHEMA, documents, frame, sentence
 from tests.llm.test_line_quality import brute as quality
 from tests.llm.test_simhash import classes, plain_fingerprint
 
@@ -23,19 +23,11 @@ def test_equals_stage_by_stage_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     model = language_id.train(language_id.training_sample(docs))
     kept = [r for r in rows if not model.predict(r[1])[2]]
-    # repeated rows are equal, so it does not matter which of them the rules take for the first
-    fine = {v[0] for v in quality(kept, 10) if v[7]}
-    kept = [r for r in kept if r[0] in fine or r[0] is None]
-    groups = classes([plain_fingerprint(r[1]) for r in kept])
-    least = {}
-    for r, g in zip(kept, groups, strict=True):
-        if r[0] is not None:
-            least[g] = min(least.get(g, r[0]), r[0])
-    seen, once = set(), []
-    for r, g in zip(kept, groups, strict=True):
-        if r[0] is None or (r[0] == least[g] and r[0] not in seen):
-            seen.add(r[0])
-            once.append(r)
+    kept = [r for r, v in zip(kept, quality(kept, 10), strict=True) if v[7]]
+    first = {}
+    for r, g in zip(kept, classes([plain_fingerprint(r[1]) for r in kept]), strict=True):
+        first[g] = min(first.get(g, r), r, key=lambda x: (x[0] is None, x[0] or 0))  # rows of equal ids are equal here
+    once = list(first.values())
     mixed = mixing.mix_documents(spark.createDataFrame(once, SCHEMA))
     copies = {r.doc_id: r.taken // max(1, r["size"]) for r in mixed.collect()}
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -47,6 +39,27 @@ def test_equals_stage_by_stage_brute_force(spark, tmp_path):
     assert got == want
 
 
+def test_run_on_odd_tables(spark, tmp_path):
+    """An empty table, extra columns of any name, a null id, and a second run."""
+    rows = documents(40) + [(None, documents(41)[40][1], "en", "src1", 5)]
+    frame(spark, rows, True).selectExpr("*", "1 as _rid", "2 as _size", "'x' as lang_pred", "0.5 as _times", "3 as _text").write.parquet(f"{tmp_path}/wide/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/wide/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/plain/documents.parquet")
+    runs = [Counter(map(tuple, corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect())) for name in ("wide", "plain", "plain")]
+    assert runs[0] == runs[1] == runs[2] and sum(runs[0].values()) > 20 and any(r[0] is None for r in runs[0])
+    spark.read.parquet(f"{tmp_path}/plain/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_run_keeps_only_the_last_stage_s_input(spark, tmp_path):
+    import os
+
+    scratch = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/markspan"
+    before = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    frame(spark, documents(20)).write.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [x.split("-", 1)[1] for x in set(os.listdir(scratch)) - before] == ["mix_sources"]
+
+
 def test_stages_return_documents(spark, tmp_path):
     spark.createDataFrame(documents(20), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
