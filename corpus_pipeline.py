@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markspan.llm import bpe, language_id, line_quality, mixing, simhash
-from markspan.llm.tables import keep_ids, materialize, with_row_id
+from markspan.llm.tables import keep_ids, materialize, scratch_scope, with_row_id
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -57,8 +57,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; each one's result is written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order over documents; each one's result is written and read again before the next.
+
+    Rows are judged each, whatever their doc_id: rows without an id or with one
+    that others have too stay or go by their own text. Of a class of near
+    duplicates the row with the smallest doc_id stays, null last; among equal ids
+    the first row in the table as it was written. Null and wordless texts have no
+    language and go in the first stage. Columns other than those of documents are
+    ignored, whatever their names. An empty table gives an empty result. Reruns
+    over the same files agree.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch_scope() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            made.remove(docs)
+            made += [before] if before is not None else []
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
