@@ -6,21 +6,25 @@ import logging
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from markspan.functions.vectors import accelerate, fire, is_enabled, node_id
+from markspan.functions.vectors import accelerate, fire, is_enabled, node_id, parent_path
 from markspan.plans.compile import CompiledNets, compile_nets
 
 log = logging.getLogger("markspan")
 
 #: Transition tables of up to this many vector cells (4 bytes each) are broadcast; larger ones are joined by net_id.
 BROADCAST_CELLS = 8_000_000
-#: Levels whose markings are kept in parts of their own before they are written together.
+#: Jobs whose files the history keeps apart before they are written together.
 SEGMENTS = 12
-#: Levels per job where no net needs acceleration.
+#: Levels per job for nets that need no acceleration.
 STRIDE = 4
+#: A frontier of up to this many states is expanded in one task, without a shuffle between its levels.
+SMALL_FRONTIER = 5_000
 
 
 class StateLimit(RuntimeError):
@@ -28,13 +32,16 @@ class StateLimit(RuntimeError):
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local session without one gets its own."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share, until the application ends; a local session without one gets its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + os.path.abspath(tempfile.mkdtemp(prefix="markspan-states-"))
-    return f"{shared.rstrip('/')}/markspan/{uuid.uuid4().hex}"
+    folder = f"{shared.rstrip('/')}/markspan/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def successors(frontier: DataFrame, transitions: DataFrame, broadcast: bool = False) -> DataFrame:
@@ -48,108 +55,161 @@ def successors(frontier: DataFrame, transitions: DataFrame, broadcast: bool = Fa
     return joined.select("f.*", F.col("x.t"), F.col("x.delta"), F.col("x.phantom"))
 
 
-def explore(nets: DataFrame, strict: bool = True, max_levels: int = 10_000, max_states: int | None = None, compiled: CompiledNets | None = None) -> DataFrame:
+def explore(nets: DataFrame, strict: bool = True, max_levels: int = 10_000, max_states: int | None = None, compiled: CompiledNets | None = None, progress: Callable[[int, int], None] | None = None) -> DataFrame:
     """All states (net_id, path, node_id, marking, depth) of all nets, in the order-independent canonical form.
 
     Level by level: fire, accelerate against the ancestors (unless the net is
     proven bounded), keep for each new marking the smallest path in integer
     order, drop markings seen on earlier levels, write the level. This gives what
-    one worker that takes its tasks first in, first out would find. A level is a
-    Parquet part of the result, so plans stay short and lost executors cost a
-    level's recomputation at most. ``max_levels`` and ``max_states`` raise
-    StateLimit, they never cut the result.
+    one worker that takes its tasks first in, first out would find. Nets that are
+    proven bounded and the others are explored apart, as the former need fewer
+    jobs. ``max_levels`` and ``max_states`` raise StateLimit, they never cut the
+    result. ``progress`` is called with the level and the number of states so far.
     """
     spark = nets.sparkSession
     compiled = compiled or compile_nets(nets, strict)
     folder = work_folder(spark)
     compiled.transitions.write.parquet(f"{folder}/transitions")
-    transitions = spark.read.parquet(f"{folder}/transitions")
+    compiled.roots.write.parquet(f"{folder}/roots")
+    transitions, roots = spark.read.parquet(f"{folder}/transitions"), spark.read.parquet(f"{folder}/roots")
     small = (transitions.agg(F.sum(F.size("pre") + F.size("delta"))).first()[0] or 0) <= BROADCAST_CELLS
-    columns = "net_id string, path array<int>, expand array<int>, report array<int>, ancestors array<array<int>>, depth int, phantom boolean"
-    compiled.roots.select(
-        "net_id", F.array().cast("array<int>").alias("path"), "expand", "report",
-        F.when(~F.col("bounded"), F.array("report")).alias("ancestors"), F.lit(0).alias("depth"), F.lit(False).alias("phantom"),
-    ).write.parquet(f"{folder}/states/level=0")
-    read = lambda *parts: spark.read.schema(columns).parquet(*(f"{folder}/{x}" for x in parts))
-    stride = STRIDE if strict and read("states/level=0").where("ancestors IS NOT NULL").isEmpty() else 1
-    seen, parts, total, level, open_rows = ["states/level=0"], ["states/level=0"], 0, 0, 1
-    while open_rows:
-        if level >= max_levels:
-            raise StateLimit(f"over {max_levels} levels")
-        if len(seen) > SEGMENTS:  # many small parts are slow to list and to open
-            read(*seen).where("NOT phantom").select("net_id", "expand", "phantom").write.parquet(f"{folder}/seen={level}")
-            seen = [f"seen={level}"]
-        here = read(parts[-1]).where("NOT phantom")
-        if stride > 1:  # a part holds several levels
-            here = here.where(F.size("path") == level)
-        here = here.drop("phantom")
-        old = read(*seen).where("NOT phantom").select("net_id", F.col("expand").alias("marking"))
-        step = min(stride, max_levels - level)
-        fresh = _next_levels(here, transitions, old, step, small) if step > 1 else _next_level(here, transitions, old, small, strict)
-        level += step
-        parts.append(f"states/level={level}")
-        seen.append(parts[-1])
-        count = Observation()
-        measured = fresh.observe(count, F.count(F.lit(1)).alias("rows"), F.count_if((F.col("depth") == level) & ~F.col("phantom")).alias("open"))
-        measured.write.parquet(f"{folder}/{parts[-1]}")
-        rows, open_rows = count.get["rows"], count.get["open"]
-        total += rows
-        log.info("level %d: %d states, %d since the roots", level, rows, total)
-        if max_states is not None and total > max_states:
-            raise StateLimit(f"over {max_states} states at level {level}")
-    states = read(*parts)
+    found = {r["bounded"]: r["count"] for r in roots.groupBy("bounded").count().collect()}
+    parts, total = [], 0
+    for bounded in sorted(found, reverse=True):
+        run = _Run(spark, f"{folder}/bounded={bounded}", transitions, small, strict, bounded)
+        try:
+            total = run.levels(roots.where(F.col("bounded") == bounded), found[bounded], max_levels, max_states, total, progress)
+        finally:
+            run.close()
+        parts += run.parts
+    states = spark.read.schema(_STATE).parquet(*parts) if parts else spark.createDataFrame([], _STATE)
     return states.select("net_id", "path", node_id("path").alias("node_id"), F.col("report").alias("marking"), "depth")
 
 
-def _next_level(here: DataFrame, transitions: DataFrame, seen: DataFrame, broadcast: bool, strict: bool) -> DataFrame:
-    """The states of a level from those of the one before: fire, accelerate, keep the smallest path, drop what was seen.
+_STATE = "h long, net_id string, expand array<int>, path array<int>, report array<int>, ancestors array<array<int>>, depth int, phantom boolean"
+_KEY = ["h", "net_id", "expand"]
 
-    The depth comes from the rows, so that all levels run the same compiled code.
+
+class _Run:
+    """The levels of some nets in a table that is hash-partitioned (bucketed) by marking, a partition per job.
+
+    New markings are dealt by the same hash, so they meet the history's buckets
+    without moving it: a job shuffles its own candidates only. A leading 64-bit
+    hash of net and marking makes sorts and comparisons of vectors cheap. Plans
+    stay short and alike, and a lost executor costs a job's recomputation at most.
     """
-    fired = successors(here, transitions, broadcast)
-    child = F.when(F.col("ancestors").isNull(), fire("expand", "delta")).otherwise(accelerate("ancestors", fire("expand", "delta")))
-    made = fired.select(
-        "net_id", F.concat("path", F.array("t")).alias("path"), F.when(F.col("phantom"), F.col("report")).otherwise(child).alias("marking"), "ancestors", "phantom", (F.col("depth") + 1).alias("depth")
-    )
-    fresh = (
-        made.where("NOT phantom")
-        .groupBy("net_id", "marking")
-        .agg(F.min_by(F.struct("path", "ancestors", "depth"), "path").alias("s"))
-        .join(seen, ["net_id", "marking"], "left_anti")
-        .select(
-            "net_id", "s.path", F.col("marking").alias("expand"), F.col("marking").alias("report"),
-            F.when(F.col("s.ancestors").isNotNull(), F.concat("s.ancestors", F.array("marking"))).alias("ancestors"),
-            "s.depth", F.lit(False).alias("phantom"),
-        )
-    )
-    if strict:
-        return fresh
-    ghosts = made.where("phantom").select(
-        "net_id", "path", F.col("marking").alias("expand"), F.col("marking").alias("report"), F.lit(None).cast("array<array<int>>").alias("ancestors"), "depth", "phantom"
-    )
-    return fresh.union(ghosts)
 
+    def __init__(self, spark: SparkSession, folder: str, transitions: DataFrame, broadcast: bool, strict: bool, bounded: bool):
+        self.spark, self.folder, self.transitions, self.broadcast, self.strict, self.bounded = spark, folder, transitions, broadcast, strict, bounded
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.parts: list[str] = []
+        self.name, self.path, self.written = "", "", 0
+
+    def levels(self, roots: DataFrame, open_rows: int, max_levels: int, max_states: int | None, total: int, progress: Callable[[int, int], None] | None) -> int:
+        start = roots.select(
+            F.xxhash64("net_id", "expand").alias("h"), "net_id", "expand", F.array().cast("array<int>").alias("path"), "report",
+            (F.lit(None) if self.bounded else F.array("report")).cast("array<array<int>>").alias("ancestors"), F.lit(0).alias("depth"), F.lit(False).alias("phantom"),
+        )
+        self._write(start, 0)
+        self.parts.append(f"{self.path}/part=0")
+        stride, level = STRIDE if self.strict and self.bounded else 1, 0
+        while open_rows:
+            if level >= max_levels:
+                raise StateLimit(f"over {max_levels} levels")
+            if self.written > SEGMENTS:
+                self._compact(level)
+            here = self.spark.read.schema(_STATE).parquet(self.parts[-1]).where("NOT phantom").where(F.col("depth") == level).drop("phantom")
+            if open_rows <= SMALL_FRONTIER:
+                here = here.coalesce(1)
+            step = min(stride, max_levels - level)
+            fresh = self._next_levels(here, step) if stride > 1 else self._next_level(here)
+            level += step
+            count = Observation()
+            self._write(fresh.observe(count, F.count(F.lit(1)).alias("rows"), F.count_if((F.col("depth") == level) & ~F.col("phantom")).alias("open")), level)
+            rows, open_rows = count.get["rows"], count.get["open"]
+            if rows:  # else there is no part
+                self.parts.append(f"{self.path}/part={level}")
+            total += rows
+            log.info("level %d: %d states, %d since the roots", level, rows, total)
+            if progress:
+                progress(level, total)
+            if max_states is not None and total > max_states:
+                raise StateLimit(f"over {max_states} states at level {level}")
+        return total
+
+    def _write(self, states: DataFrame, level: int) -> None:
+        """Add a part to the table; ``part`` is the level, or -1 for markings that were written together."""
+        if not self.name:
+            self.name, self.path = f"markspan_{uuid.uuid4().hex}", f"{self.folder}/from={level}"
+        rows = states.select(*_STATE_COLUMNS, F.lit(level).alias("part"))
+        rows.write.mode("append").partitionBy("part").bucketBy(self.buckets, *_KEY).option("path", self.path).saveAsTable(self.name)
+        self.written += 1
+
+    def _compact(self, level: int) -> None:
+        """Go on with a new table of all markings seen: many small files are slow to list and to open."""
+        old, nothing = self.name, [F.lit(None).cast(kind).alias(c) for c, kind in (("path", "array<int>"), ("report", "array<int>"), ("ancestors", "array<array<int>>"), ("depth", "int"))]
+        seen = self.spark.table(old).where("NOT phantom").select(*_KEY, "phantom", *nothing)
+        self.name, self.path, self.written = f"markspan_{uuid.uuid4().hex}", f"{self.folder}/from={level}", 0
+        self._write(seen, -1)
+        self.spark.sql(f"DROP TABLE {old}")
+
+    def close(self) -> None:
+        """Forget the table; its files stay."""
+        if self.name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def _unseen(self, rows: DataFrame) -> DataFrame:
+        seen = self.spark.table(self.name).where("NOT phantom").select(*_KEY)
+        return rows.join(seen.hint("merge"), _KEY, "left_anti")
+
+    def _next_level(self, here: DataFrame) -> DataFrame:
+        """The states of a level from those of the one before: fire, accelerate, keep the smallest path, drop what was seen.
+
+        Ancestors are not carried along with the firings: the new states get them
+        from their parents. The depth comes from the rows, so that all levels run
+        the same compiled code.
+        """
+        fired = successors(here, self.transitions, self.broadcast)
+        child = fire("expand", "delta") if self.bounded else accelerate("ancestors", fire("expand", "delta"))
+        made = fired.select(
+            "net_id", F.concat("path", F.array("t")).alias("path"), F.when(F.col("phantom"), F.col("report")).otherwise(child).alias("expand"), "phantom", (F.col("depth") + 1).alias("depth")
+        )
+        real = made.where("NOT phantom").withColumn("h", F.xxhash64("net_id", "expand"))
+        fresh = self._unseen(real.groupBy(*_KEY).agg(F.min("path").alias("path"), F.min("depth").alias("depth"))).withColumn("report", F.col("expand"))
+        if self.bounded:
+            fresh = fresh.withColumn("ancestors", F.lit(None).cast("array<array<int>>"))
+        else:
+            parents = here.select("net_id", F.col("path").alias("parent"), F.col("ancestors").alias("above"))
+            fresh = fresh.withColumn("parent", parent_path("path")).join(parents, ["net_id", "parent"]).withColumn("ancestors", F.concat("above", F.array("expand")))
+        fresh = fresh.withColumn("phantom", F.lit(False)).select(*_STATE_COLUMNS)
+        if self.strict:
+            return fresh
+        ghosts = made.where("phantom").select(
+            F.xxhash64("net_id", "expand").alias("h"), "net_id", "expand", "path", F.col("expand").alias("report"), F.lit(None).cast("array<array<int>>").alias("ancestors"), "depth", "phantom"
+        )
+        return fresh.union(ghosts)
+
+    def _next_levels(self, here: DataFrame, steps: int) -> DataFrame:
+        """Several levels in one job, for nets that are proven bounded.
+
+        Without acceleration a state's smallest path is the smallest of its shortest
+        paths, whose prefixes are such paths too. So markings need not be compared
+        with those seen at every level: each level keeps one path per marking, and in
+        the end the lowest level of each marking that was not seen before counts.
+        """
+        ahead, levels = here.select("net_id", "path", "expand"), []
+        for _ in range(steps):
+            fired = successors(ahead, self.transitions, self.broadcast).select("net_id", F.concat("path", F.array("t")).alias("path"), fire("expand", "delta").alias("expand"))
+            ahead = fired.withColumn("h", F.xxhash64("net_id", "expand")).groupBy(*_KEY).agg(F.min("path").alias("path"))
+            levels.append(ahead.select(*_KEY, F.struct(F.size("path").alias("depth"), "path").alias("at")))
+            ahead = ahead.drop("h")
+        first = reduce(DataFrame.union, levels).groupBy(*_KEY).agg(F.min("at").alias("at"))
+        return self._unseen(first).select(
+            *_KEY, "at.path", F.col("expand").alias("report"), F.lit(None).cast("array<array<int>>").alias("ancestors"), "at.depth", F.lit(False).alias("phantom")
+        )
 
-def _next_levels(here: DataFrame, transitions: DataFrame, seen: DataFrame, steps: int, broadcast: bool) -> DataFrame:
-    """Several levels in one job, for nets that are proven bounded.
 
-    Without acceleration a state's smallest path is the smallest of its shortest
-    paths, whose prefixes are such paths too. So markings need not be compared
-    with those seen at every level: each level keeps one path per marking, and in
-    the end the lowest level of each marking that was not seen before counts.
-    """
-    ahead, levels = here.select("net_id", "path", "expand"), []
-    for _ in range(steps):
-        fired = successors(ahead, transitions, broadcast).select("net_id", F.concat("path", F.array("t")).alias("path"), fire("expand", "delta").alias("expand"))
-        ahead = fired.groupBy("net_id", "expand").agg(F.min("path").alias("path")).select("net_id", "path", "expand")
-        levels.append(ahead.select("net_id", "expand", F.struct(F.size("path").alias("depth"), "path").alias("at")))
-    every = levels[0]
-    for more in levels[1:]:
-        every = every.union(more)
-    fresh = every.groupBy("net_id", F.col("expand").alias("marking")).agg(F.min("at").alias("at")).join(seen, ["net_id", "marking"], "left_anti")
-    return fresh.select(
-        "net_id", "at.path", F.col("marking").alias("expand"), F.col("marking").alias("report"), F.lit(None).cast("array<array<int>>").alias("ancestors"), "at.depth", F.lit(False).alias("phantom")
-    )
+_STATE_COLUMNS = [part.split()[0] for part in _STATE.split(", ")]
 
 
 def tree_edges(states: DataFrame) -> DataFrame:
@@ -172,7 +232,8 @@ def repeated_markings(states: DataFrame) -> DataFrame:
 
 def firing_counts(states: DataFrame, compiled: CompiledNets) -> DataFrame:
     """(net_id, n_firings): enabled transitions over all states, duplicates included."""
-    fired = successors(states.withColumn("expand", F.col("marking")), compiled.transitions)
+    cells = compiled.transitions.agg(F.sum(F.size("pre") + F.size("delta"))).first()[0] or 0
+    fired = successors(states.withColumn("expand", F.col("marking")), compiled.transitions, cells <= BROADCAST_CELLS)
     return fired.groupBy("net_id").agg(F.count("*").alias("n_firings"))
 
 

@@ -124,12 +124,10 @@ def is_bounded() -> Column:
 
 def compile_nets(nets: DataFrame, strict: bool = True) -> CompiledNets:
     """Check the nets and derive roots and transitions; raises NetError with the first problems."""
-    wrong = problems(nets, strict).limit(5).collect()
+    repeated = nets.groupBy("net_id").count().where("count > 1").select("net_id", F.lit("net_id repeats").alias("problem"))
+    wrong = problems(nets, strict).union(repeated).limit(5).collect()
     if wrong:
         raise NetError("; ".join(f"{r['net_id']}: {r['problem']}" for r in wrong))
-    repeated = nets.groupBy("net_id").count().where("count > 1").limit(1).collect()
-    if repeated:
-        raise NetError(f"{repeated[0]['net_id']}: net_id repeats")
     covered = _flat("place_indices")
     report = F.transform("M0", lambda x, p: F.when(F.array_contains(covered, p), x).otherwise(0))
     # a null delta empties its place, which the weight test does not model: such nets keep their ancestors

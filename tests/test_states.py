@@ -99,11 +99,23 @@ def test_bad_parameters(spark):
 def test_levels_per_job_and_segments_do_not_matter(spark, monkeypatch, stride):
     monkeypatch.setattr(reachability, "STRIDE", stride)
     monkeypatch.setattr(reachability, "SEGMENTS", 2)
+    monkeypatch.setattr(reachability, "SMALL_FRONTIER", 0 if stride == 2 else 5_000)
     net = generate_net(2, [2, 1], 1)
     net["M0"][0] = 2
     states = explore(nets_from_documents(spark, {"n": net}))
     assert sorted((tuple(r.path), tuple(r.marking)) for r in states.collect()) == sorted(simulator.explore(net))
     assert {r.depth == len(r.path) for r in states.collect()} == {True}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("markspan_")]
+
+
+def test_bounded_and_unbounded_nets_in_one_batch(spark, monkeypatch):
+    monkeypatch.setattr(reachability, "SEGMENTS", 3)
+    nets = {"a": sample_net("net_1"), "b": sample_net("net_3"), "c": ORDER_NET, "d": generate_net(2, [2, 1], 2)}
+    calls = []
+    states = explore(nets_from_documents(spark, nets), progress=lambda *x: calls.append(x))
+    for name, net in nets.items():
+        assert sorted((tuple(r.path), tuple(r.marking)) for r in states.where(F.col("net_id") == name).collect()) == sorted(simulator.explore(net)), name
+    assert calls[-1][1] == states.count() - len(nets)
 
 
 def test_large_transition_tables_are_joined(spark, monkeypatch):
