@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from markspan.queries import ORDER_NET, sample_net
+from markspan.queries import MALFORMED, ORDER_NET, sample_net
 
 
 def _net(name: str) -> dict:
@@ -46,6 +46,40 @@ def _shown(name: str) -> str:
     return f"{_states(name)} SELECT '{name}' AS net_id, {_NODE.format('path')} AS node_id, {_COMPACT.format('m')} AS marking, len(path)::INT AS depth FROM r"
 
 
+def _compat(name: str) -> str:
+    """States of a net whose subnets may not fit it: (net_id, path, m), m as reported.
+
+    A place takes part in a firing by its last subnet; one in no subnet empties and is 0 in the root as
+    reported; a transition in no subnet makes a node with its parent's vector that is not expanded.
+    """
+    net = MALFORMED[name]
+    owner = {p: s["trans_indices"] for s in net["subnet_definitions"] for p in s["place_indices"]}
+    listed = {t for s in net["subnet_definitions"] for t in s["trans_indices"]}
+    places, n = range(len(net["M0"])), len(net["M0"])
+    change = lambda p, t: "NULL" if p not in owner else net["I_plus"][p][t] - net["I_minus"][p][t] if t in owner[p] else 0
+    rows = ", ".join(f"({t}, {[net['I_minus'][p][t] for p in places]}::INT[], [{', '.join(str(change(p, t)) for p in places)}]::INT[], {t not in listed})" for t in range(len(net["I_minus"][0])))
+    report = [x if p in owner else 0 for p, x in enumerate(net["M0"])]
+    fire = "list_transform(list_zip(r.m, tr.delta), lambda z: CASE WHEN z[2] IS NULL THEN 0 WHEN z[1] = -1 THEN -1 ELSE z[1] + z[2] END)"
+    below = f"list_filter(anc, lambda a: len(list_filter(range(1, {n + 1}), lambda k: a[k] <> -1 AND c[k] <> -1 AND c[k] < a[k])) = 0)"
+    shown = f"CASE WHEN len(r.path) = 0 THEN {report}::INT[] ELSE r.m END"
+    return f"""(
+WITH RECURSIVE tr(t, pre, delta, phantom) AS (VALUES {rows}),
+r(m, path, anc) USING KEY (m) AS (
+  SELECT {net["M0"]}::INT[], []::INT[], [{report}]::INT[][]
+  UNION
+  SELECT m, min(path), list_append(arg_min(anc, path), m) FROM (
+    SELECT path, anc, list_transform(c, lambda v, i: CASE WHEN v <> -1 AND len(list_filter(below, lambda a: a[i] <> -1 AND v > a[i])) > 0 THEN -1 ELSE v END) AS m
+    FROM (SELECT path, anc, c, {below} AS below
+          FROM (SELECT list_append(r.path, t) AS path, r.anc, {fire} AS c FROM r JOIN tr ON NOT phantom AND {_ENABLED})))
+  WHERE m NOT IN (SELECT m FROM recurring.r) GROUP BY m
+)
+SELECT '{name}' AS net_id, r.path AS path, {shown} AS m FROM r
+UNION ALL SELECT '{name}', list_append(r.path, t), {shown} FROM r JOIN tr ON phantom AND {_ENABLED})"""
+
+
+_ALL_COMPAT = " UNION ALL ".join(f"SELECT * FROM {_compat(n)}" for n in MALFORMED)
+
+
 _EDGES = f"""{_states("net_3")}
 SELECT 'net_3' AS net_id, {_NODE.format("path[:-2]")} AS parent_id, {_NODE.format("path")} AS child_id, path[-1] AS t FROM r WHERE len(path) > 0"""
 
@@ -239,7 +273,12 @@ def oracle_sql() -> dict[str, str]:
         "states_order_sensitive": _shown("order"),
         "state_count_net_2": _COUNT_NET_2,
         "edges_net_3_omega": _EDGES,
-        "repeated_markings_check": f"{_states('net_3')} SELECT 'net_3' AS net_id, '' AS marking, count(*) AS n FROM r GROUP BY m HAVING count(*) > 1",
+        "states_from_files": f"SELECT * FROM ({_shown('net_1')}) UNION ALL SELECT * FROM ({_shown('net_3')})",
+        "states_compat": f"SELECT net_id, {_NODE.format('path')} AS node_id, {_COMPACT.format('m')} AS marking, len(path)::INT AS depth FROM ({_ALL_COMPAT})",
+        "repeated_markings_compat": f"SELECT net_id, '[' || array_to_string(m, ', ') || ']' AS marking, count(*) AS n FROM ({_ALL_COMPAT}) GROUP BY net_id, m HAVING count(*) > 1",
+        "repeated_markings_check": " UNION ALL ".join(
+            f"SELECT * FROM ({_states(n)} SELECT '{n}' AS net_id, '[' || array_to_string(m, ', ') || ']' AS marking, count(*) AS n FROM r GROUP BY m HAVING count(*) > 1)" for n in ("net_1", "net_3", "order")
+        ),
         "firings_net_3": f"{_firings('net_1')} UNION ALL {_firings('net_3')}",
         "explained_nodes": _EXPLAINED,
         "family_state_counts": f"{_FAMILY} SELECT net_id, {_STATES_OF} AS n_states, 0::BIGINT AS n_omega_states FROM s",

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markspan.functions import vectors as V
-from markspan.operators.reachability import explain_node, explore, firing_counts, repeated_markings, state_counts, tree_edges
+from markspan.operators.reachability import explain_node, explore, firing_counts, repeated_markings, state_counts, tree_edges, work_folder
 from markspan.plans.compile import compile_nets, transition_table
 from markspan.sinks.text import arcs, editor_xml, net_dot, net_json, pnml, tree_dot
-from markspan.sources.nets import NET_SCHEMA, generate_net, generated_nets, nets_from_documents
+from markspan.sources.nets import NET_SCHEMA, generate_net, generated_nets, nets_from_documents, read_nets, save_net
 
 #: The sample nets, by the family's parameters.
 NET_1 = (3, (1, 1, 1), 2, False)
@@ -38,6 +38,26 @@ ORDER_NET = {
 }
 
 
+#: Nets whose subnets do not fit them: a place and a transition in no subnet, no subnets at all, an omega at the start,
+#: an arc that its place's subnet does not list.
+MALFORMED = {
+    "uncovered": {
+        "M0": [1, 1, 2],
+        "I_minus": [[1, 0, 0], [0, 1, 0], [0, 0, 1]],
+        "I_plus": [[1, 0, 0], [0, 0, 1], [1, 0, 0]],
+        "subnet_definitions": [{"id": 0, "place_indices": [0], "trans_indices": [0]}, {"id": 1, "place_indices": [2], "trans_indices": [0, 2]}],
+    },
+    "bare": {"M0": [1, 0], "I_minus": [[1, 1], [0, 0]], "I_plus": [[0, 0], [1, 2]], "subnet_definitions": []},
+    "omega": {"M0": [-1, 0], "I_minus": [[3], [0]], "I_plus": [[0], [1]], "subnet_definitions": [{"id": 0, "place_indices": [0, 1], "trans_indices": [0]}]},
+    "unlisted": {
+        "M0": [2, 0],
+        "I_minus": [[1, 0], [0, 1]],
+        "I_plus": [[0, 1], [1, 0]],
+        "subnet_definitions": [{"id": 4, "place_indices": [0], "trans_indices": [0, 1]}, {"id": 2, "place_indices": [1], "trans_indices": [1]}],
+    },
+}
+
+
 def _nets(spark: SparkSession, *names: str) -> DataFrame:
     return nets_from_documents(spark, {n: ORDER_NET if n == "order" else sample_net(n) for n in names})
 
@@ -66,6 +86,23 @@ def edges_net_3_omega(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_edges(explore(_nets(spark, "net_3")))
 
 
+def states_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of nets that are read from JSON files, one net per file."""
+    folder = work_folder(spark)
+    for name in ("net_1", "net_3"):
+        save_net(spark, sample_net(name), f"{folder}/{name}.json")
+    return _shown(explore(read_nets(spark, f"{folder}/*.json")))
+
+
+def states_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What malformed nets do: reported markings, nodes that are never completed."""
+    return _shown(explore(nets_from_documents(spark, MALFORMED), strict=False))
+
+
+def repeated_markings_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_markings(explore(nets_from_documents(spark, MALFORMED), strict=False)).select("net_id", V.spaced("marking").alias("marking"), "n")
+
+
 def repeated_markings_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_markings(explore(_nets(spark, "net_1", "net_3", "order"))).select("net_id", V.spaced("marking").alias("marking"), "n")
 
@@ -226,7 +263,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            states_net_1, states_net_3_omega, states_order_sensitive, state_count_net_2, edges_net_3_omega, repeated_markings_check, firings_net_3,
+            states_net_1, states_net_3_omega, states_order_sensitive, states_from_files, states_compat, state_count_net_2, edges_net_3_omega,
+            repeated_markings_check, repeated_markings_compat, firings_net_3,
             explained_nodes, family_state_counts, family_edge_counts, generated_arcs, generated_documents, transition_deltas, subnet_operators,
             vector_enabled, vector_fire, vector_omega_mask, vector_accelerate, vector_gather_scatter, theta_join, enabled_lists, first_markings,
             unseen_markings, id_functions, dot_of_tree, dot_of_net, xml_of_net, pnml_of_net,

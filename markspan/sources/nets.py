@@ -124,6 +124,16 @@ def generate_net(branches: int, branches_len: list[int], tail_length: int, omega
     return {"M0": [1] + [0] * tail[-1], "I_minus": minus, "I_plus": plus, "subnet_definitions": subnets}
 
 
+def save_net(spark: SparkSession, document: dict, path: str) -> None:
+    """JSON text with indent 2 at any path that Spark's file systems reach, so that executors can read it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        file.write(bytearray(write_net(document), "utf-8"))
+    finally:
+        file.close()
+
+
 def write_net(document: dict, path: str | None = None) -> str:
     """JSON text with indent 2; written to ``path`` if given."""
     text = json.dumps(document, indent=2)
