@@ -7,7 +7,6 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +21,11 @@ BROADCAST_CELLS = 8_000_000
 #: Jobs whose files the history keeps apart before they are written together.
 SEGMENTS = 12
 #: Levels per job for nets that need no acceleration.
-STRIDE = 4
+STRIDE = 8
+#: The move that leaves a state as it is.
+IDLE = -1
 #: A frontier of up to this many states is expanded in one task, without a shuffle between its levels.
-SMALL_FRONTIER = 5_000
+SMALL_FRONTIER = 1_000
 
 
 class StateLimit(RuntimeError):
@@ -69,14 +70,16 @@ def explore(nets: DataFrame, strict: bool = True, max_levels: int = 10_000, max_
     spark = nets.sparkSession
     compiled = compiled or compile_nets(nets, strict)
     folder = work_folder(spark)
-    compiled.transitions.write.parquet(f"{folder}/transitions")
     compiled.roots.write.parquet(f"{folder}/roots")
-    transitions, roots = spark.read.parquet(f"{folder}/transitions"), spark.read.parquet(f"{folder}/roots")
-    small = (transitions.agg(F.sum(F.size("pre") + F.size("delta"))).first()[0] or 0) <= BROADCAST_CELLS
+    roots = spark.read.parquet(f"{folder}/roots")
+    idle = roots.select("net_id", F.lit(IDLE).alias("t"), F.lit(None).alias("pre"), F.lit(None).alias("delta"), F.lit(False).alias("phantom"))
+    compiled.transitions.union(idle).write.parquet(f"{folder}/moves")
+    moves = spark.read.parquet(f"{folder}/moves")
+    small = (moves.where(F.col("t") != IDLE).agg(F.sum(F.size("pre") + F.size("delta"))).first()[0] or 0) <= BROADCAST_CELLS
     found = {r["bounded"]: r["count"] for r in roots.groupBy("bounded").count().collect()}
     parts, total = [], 0
     for bounded in sorted(found, reverse=True):
-        run = _Run(spark, f"{folder}/bounded={bounded}", transitions, small, strict, bounded)
+        run = _Run(spark, f"{folder}/bounded={bounded}", moves, small, strict, bounded)
         try:
             total = run.levels(roots.where(F.col("bounded") == bounded), found[bounded], max_levels, max_states, total, progress)
         finally:
@@ -99,8 +102,9 @@ class _Run:
     stay short and alike, and a lost executor costs a job's recomputation at most.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, transitions: DataFrame, broadcast: bool, strict: bool, bounded: bool):
-        self.spark, self.folder, self.transitions, self.broadcast, self.strict, self.bounded = spark, folder, transitions, broadcast, strict, bounded
+    def __init__(self, spark: SparkSession, folder: str, moves: DataFrame, broadcast: bool, strict: bool, bounded: bool):
+        self.spark, self.folder, self.broadcast, self.strict, self.bounded = spark, folder, broadcast, strict, bounded
+        self.moves, self.transitions = moves, moves.where(F.col("t") != IDLE)
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.parts: list[str] = []
         self.name, self.path, self.written = "", "", 0
@@ -194,18 +198,23 @@ class _Run:
 
         Without acceleration a state's smallest path is the smallest of its shortest
         paths, whose prefixes are such paths too. So markings need not be compared
-        with those seen at every level: each level keeps one path per marking, and in
-        the end the lowest level of each marking that was not seen before counts.
+        with those seen at every level: each step fires from the states that the
+        step before has added and carries all others on by an idle move, and keeps
+        of each marking the lowest step and there the smallest path.
         """
-        ahead, levels = here.select("net_id", "path", "expand"), []
-        for _ in range(steps):
-            fired = successors(ahead, self.transitions, self.broadcast).select("net_id", F.concat("path", F.array("t")).alias("path"), fire("expand", "delta").alias("expand"))
-            ahead = fired.withColumn("h", F.xxhash64("net_id", "expand")).groupBy(*_KEY).agg(F.min("path").alias("path"))
-            levels.append(ahead.select(*_KEY, F.struct(F.size("path").alias("depth"), "path").alias("at")))
-            ahead = ahead.drop("h")
-        first = reduce(DataFrame.union, levels).groupBy(*_KEY).agg(F.min("at").alias("at"))
-        return self._unseen(first).select(
-            *_KEY, "at.path", F.col("expand").alias("report"), F.lit(None).cast("array<array<int>>").alias("ancestors"), "at.depth", F.lit(False).alias("phantom")
+        moves = F.broadcast(self.moves) if self.broadcast else self.moves
+        rests, ahead = F.col("x.t") == IDLE, here.select(*_KEY, F.lit(0).alias("step"), "path")
+        for k in range(steps):
+            can = rests | ((F.col("f.step") == k) & is_enabled("f.expand", "x.pre"))
+            moved = ahead.alias("f").join(moves.alias("x"), (F.col("f.net_id") == F.col("x.net_id")) & can)
+            made = moved.select(
+                "f.net_id",
+                F.when(rests, F.col("f.expand")).otherwise(fire("f.expand", "x.delta")).alias("expand"),
+                F.struct((F.col("f.step") + F.when(rests, 0).otherwise(1)).alias("step"), F.when(rests, F.col("f.path")).otherwise(F.concat("f.path", F.array("x.t"))).alias("path")).alias("at"),
+            )
+            ahead = made.withColumn("h", F.xxhash64("net_id", "expand")).groupBy(*_KEY).agg(F.min("at").alias("at")).select(*_KEY, "at.step", "at.path")
+        return self._unseen(ahead).select(
+            *_KEY, "path", F.col("expand").alias("report"), F.lit(None).cast("array<array<int>>").alias("ancestors"), F.size("path").alias("depth"), F.lit(False).alias("phantom")
         )
 
 
