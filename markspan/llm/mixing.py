@@ -152,7 +152,7 @@ def _totals(rows: DataFrame, seed: int, weights, volume: float, most: float) ->
     done = []
     while True:
         last = chunks == 1
-        frame = materialize(_level(frame, chunks, seed, last), "mix-level")
+        frame = materialize(_level(frame, chunks, len(found), seed, last), "mix-level")
         done.append(frame.where("settled"))
         if last:
             break
@@ -171,7 +171,7 @@ _SOURCE, _SIZE, _P, _AT, _DRAW = (_NAMES.index(n) for n in ("source", "size", "p
 _ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for n, t in map(str.split, _ROW.split(", "))])
 
 
-def _level(frame: DataFrame, chunks: int, seed: int, last: bool) -> DataFrame:
+def _level(frame: DataFrame, chunks: int, sources: int, seed: int, last: bool) -> DataFrame:
     """One level of the reduction tree: items of a chunk and source are paired in order of size, streaming."""
 
     def run(batches):
@@ -192,7 +192,7 @@ def _level(frame: DataFrame, chunks: int, seed: int, last: bool) -> DataFrame:
         yield _batch(_settle(carry, seed, last))
 
     order = ["chunk", "source", F.desc("size"), "doc_id", "draw", "variant"]
-    tasks = min(PARTITIONS, max(chunks, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = min(PARTITIONS, max(chunks, min(sources, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     dealt = frame.select(*_NAMES[:-1]).repartition(tasks, "chunk", "source").sortWithinPartitions(*order)
     return dealt.mapInArrow(run, _ROW)
 
@@ -241,7 +241,7 @@ def mixed_rows(documents: DataFrame, seed: int = 11) -> DataFrame:
     totals = _totals(_items(table, F.xxhash64(*told).alias("variant"), F.col(rid).alias("rid")), seed, WEIGHTS, 1.5, 2.0)
     copies = materialize(totals.select(F.col("first").alias(rid), (F.col("n") * F.col("whole") + F.col("more")).alias(times)).where(F.col(times) > 0), "mix-copies")
     few = copies.count() <= BROADCAST_ROWS
-    many = materialize(copies.where(F.col(times) > REPEATS), "mix-many")
+    many = copies.where(F.col(times) > REPEATS)
     taken = lambda ids: table.join(F.broadcast(ids) if few else ids.hint("merge"), rid)
     once = taken(copies.where(F.col(times) <= REPEATS)).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     out = once.drop(rid, times, nth)
