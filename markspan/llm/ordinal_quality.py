@@ -21,7 +21,7 @@ SAMPLE_DOCUMENTS, SAMPLE_BYTES = 8_000, 64 << 20
 EPOCHS = 15
 #: A feature counts if it is in so many of the fitted documents (fewer in a small sample).
 MIN_DOCUMENTS = 20
-#: Share of calibration texts of the top grade that selection may lose, and the highest limit that this may set.
+#: Share of calibration texts of the top grade that selection may lose (to the nearest text), and the highest limit that this may set.
 MISS, HIGHEST_LIMIT = 0.002, 0.8
 WORD_VALUE, SHARE_VALUE = 0.15, 5.0
 _OTHER = regex.compile(r"[^\p{L}]+")
@@ -166,7 +166,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENT
     model = fit(_frequent(used), 3)
     tops = sorted(float(1.0 - _sigmoid(model.thresholds[-1] - float(model.weights[w] @ v))) for g, w, v in held if g == 2)
     if tops:
-        model.least_tail = min(HIGHEST_LIMIT, tops[int(MISS * len(tops))])
+        model.least_tail = min(HIGHEST_LIMIT, tops[round(MISS * len(tops))])
     return model
 
 
